@@ -261,3 +261,49 @@ def expand_pairs(links: DataFrame, classes: DataFrame, sizes_up_to: int = 64) ->
         .unionByName(several.where((F.col("n") > sizes_up_to) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("ia"), F.col("id").alias("ib")))
     )
     return across.unionByName(within).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+
+
+def groups(links: DataFrame, classes: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, group_id, links): the connected component of each id, named by its least id, and how many texts its own
+    text is linked to. Equal texts share the component and the links of their representative.
+
+    Alternating large-star and small-star steps on the links between representatives; each is one shuffle of the
+    links by vertex, and the number of steps grows as the logarithm of the largest component.
+    """
+    edges = materialise(links.select("a", "b"))
+    linked = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    state, before = edges, None
+    for _ in range(rounds):
+        state = materialise(_small_star(_large_star(state)))
+        now = state.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    names = state.select(F.col("b").alias("rep"), F.col("a").alias("least"))
+    return (
+        classes.join(names, "rep", "left").join(linked, "rep", "left")
+        .select("id", F.coalesce("least", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+
+
+def _neighbours(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each vertex links its larger neighbours to the least of it and its neighbours; rows are (least, vertex)."""
+    from pyspark.sql import Window
+
+    both = _neighbours(edges).withColumn("low", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+    return both.where("b > a").select(F.col("low").alias("a"), "b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each vertex links its smaller neighbours and itself to the least of them."""
+    from pyspark.sql import Window
+
+    down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).withColumn("low", F.min("u").over(Window.partitionBy("v")))
+    kept = down.select(F.col("low").alias("a"), F.col("u").alias("b")).where("a < b")
+    return kept.unionByName(down.select(F.col("low").alias("a"), F.col("v").alias("b"))).distinct()
