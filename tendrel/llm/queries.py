@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendrel.llm import enrichment, mojibake, neardup, split
+from tendrel.llm import cutoff, drafts, enrichment, markup, mixture, mojibake, neardup, packing, split
 from tendrel.llm.common import limits
 from tendrel.session import table
 
@@ -30,6 +30,19 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("tab", "rec_id", "t.term", "t.tf", "t.records", F.round("t.score", 6).alias("score"), F.round("t.tf_idf", 6).alias("tf_idf"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = markup.markup_texts(both_tables(spark, sf_dir, "text"), "tab", "rec_id")
+    return found.select("tab", "rec_id", F.explode("markup").alias("markup"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_texts(both_tables(spark, sf_dir, "text"), "tab", "rec_id").select("tab", "rec_id", "clean")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drafts.broken_drafts(table(spark, sf_dir, "tender_drafts"), table(spark, sf_dir, "requirements"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_texts(both_tables(spark, sf_dir, "text"), "tab", "rec_id").select("tab", "rec_id")
 
@@ -65,6 +78,38 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(links, classes).withColumnRenamed("id", "chunk_ix")
 
 
+def _containers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    capacity = int(limits(spark, sf_dir)["container_capacity"])
+    return packing.fill_containers(table(spark, sf_dir, "documents"), capacity), capacity
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _containers(spark, sf_dir)[0]
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(*_containers(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_sources"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_sources"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.cut_off(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.source_rates(cutoff.cut_off(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p1_terms, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_groups)
+    found = (
+        p1_found, p1_terms, p2_found, p2_clean, p3_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_groups,
+        p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_sources,
+    )
     return {f.__name__: f for f in found}
