@@ -33,6 +33,10 @@ class Sketch:
     slack: float = 4.5
 
 
+#: Bits of the ring that candidates are tested on; each is one bit of a min-hash over all of a text's shingles.
+RING_BITS = 256
+
+
 def _fold(col: pa.Array) -> pa.Array:
     """The two signs outside ASCII whose lower case has an ASCII letter, as str.lower has it; the bytes do the rest."""
     if pc.any(pc.match_substring_regex(col, "[Kİ]")).as_py():
@@ -154,12 +158,12 @@ def near_pairs(
                 keys[w] = more[i] if keys[w] is None else np.concatenate((keys[w], more[i]))
             flat = np.concatenate([k for k in keys if k is not None]) if any(k is not None for k in keys) else np.zeros(0, np.uint64)
             ends = np.concatenate(([0], np.cumsum([0 if k is None else len(k) for k in keys]))).astype(np.int32)
-            # the ring over all shingles, a byte per segment, for the chain test
-            who3, slots3 = _slots(h, owner, len(col), 128, 3)
+            # the ring over all shingles for the chain test: a bit of each min-hash, eight to a segment
+            who3, slots3 = _slots(h, owner, len(col), RING_BITS, 3)
             rings = [None] * len(col)
-            bytes_ = slots3.astype(np.uint8)
+            packed = np.packbits((slots3 & 1).astype(np.uint8), axis=1)
             for i, w in enumerate(who3):
-                rings[w] = bytes_[i].tobytes()
+                rings[w] = packed[i].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(every.astype(np.int32)), pa.array(rings, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
                 ["id", "same", "size", "ring", "keys"],
@@ -178,19 +182,25 @@ def near_pairs(
         .where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold)
         .mapInArrow(_within(threshold, sketch.slack), "a bigint, b bigint")
     )
-    involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_hash_sets(words), "id bigint, h binary")
-    exact = near.join(sets.toDF("a", "h_a"), "a").join(sets.toDF("b", "h_b"), "b").mapInArrow(_check(threshold), "a bigint, b bigint, likeness double")
+    # a text that no candidate needs is passed over before it is shuffled; those let through by chance find no pair
+    needed = df.sparkSession.sparkContext.broadcast(_filter_bits(near.select(F.explode(F.array("a", "b")).alias("id"))))
+    sets = texts.select("id", F.xxhash64("id").alias("u"), "text").mapInArrow(_hash_sets(words, needed), "id bigint, h binary").dropDuplicates(["id"])
+    x, y = sets.alias("x"), sets.alias("y")
+    exact = (
+        near.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+        .select("a", "b", F.col("x.h").alias("h_a"), F.col("y.h").alias("h_b")).mapInArrow(_check(threshold), "a bigint, b bigint, likeness double")
+    )
     return exact, text_classes(df, key, text)
 
 
 def _within(threshold: float, slack: float):
     """Pigeonring test of candidate pairs on their rings of byte segments.
 
-    Of m segments at most t = m * (1 - threshold + slack * deviation) differ. If so, some segment starts a chain round
-    the ring in which the first l segments hold at most l * t / m differences for every l (strong form): the running
-    sum of (difference - t / m) never rises above 0 from there. Such a start exists just if the whole ring is within
-    the budget, and a start is tested by one running maximum; chains that break the budget at every start are pruned.
+    A bit differs with probability (1 - threshold) / 2 at the threshold, so the rings' Hamming distance is at most
+    t = bits * (1 - threshold) / 2 + slack deviations. If so, some segment starts a chain round the ring whose first l
+    segments hold at most l * t / m differences for every l (strong form): the running sum of (difference - t / m)
+    never rises above its value there. Each start's chain is tested by one running sum; a pair whose chains all break
+    their budget is pruned before its sets are fetched.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +210,9 @@ def _within(threshold: float, slack: float):
             if not n:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(names.index(c)).to_pylist()), np.uint8).reshape(n, -1) for c in ("ring_a", "ring_b"))
-            m = x.shape[1]
-            budget = 1 - threshold + slack * np.sqrt(threshold * (1 - threshold) / m)
-            walk = np.cumsum((x != y) - budget, axis=1)
+            m, apart = x.shape[1], (1 - threshold) / 2
+            budget = 8 * (apart + slack * np.sqrt(apart * (1 - apart) / (8 * m)))
+            walk = np.cumsum(np.bitwise_count(x ^ y) - budget, axis=1)
             start = np.argmax(walk, axis=1)  # after the highest point, no chain rises above it again
             top = walk[np.arange(n), start]
             ok = (walk[:, -1] <= 1e-9) & (top >= walk[:, -1])
@@ -212,10 +222,33 @@ def _within(threshold: float, slack: float):
     return run
 
 
-def _hash_sets(words: int):
+#: Bits of the filter of ids (a Bloom filter of three positions each); its size doesn't grow with the data. Beyond some ten
+#: million ids it lets more through, which costs shuffle and nothing else.
+FILTER_BITS = 1 << 24
+_PLACES = (0, 20, 40)
+
+
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """The filter's words, or-ed together by the executors: at most FILTER_BITS / 64 rows reach the driver."""
+    u = F.xxhash64("id")
+    at = F.explode(F.array(*(F.shiftrightunsigned(u, n).bitwiseAND(F.lit(FILTER_BITS - 1)) for n in _PLACES))).alias("at")
+    words = ids.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def _hash_sets(words: int, needed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = needed.value
         for b in batches:
-            h, owner = _sets(whole(b.column(1)), words)
+            u = np.asarray(b.column(1)).view(np.uint64)
+            keep = np.ones(len(u), bool)
+            for n in _PLACES:
+                at = (u >> np.uint64(n)) & np.uint64(FILTER_BITS - 1)
+                keep &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            b = b.filter(pa.array(keep))
+            h, owner = _sets(whole(b.column(2)), words)
             _, at = _lengths(owner, b.num_rows)
             sets = [h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "h"])
