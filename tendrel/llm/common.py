@@ -60,11 +60,20 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _WORD[_c] = _c + 32
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base ** 0 .. base ** (n - 1) modulo 2**64; kept for the next batch, up to a few megabytes."""
+    known = _KNOWN.get(int(base))
+    if known is not None and len(known) >= n:
+        return known[:n]
+    out = np.full(max(n, 1), base, dtype=np.uint64)
+    out[0] = 1
+    np.cumprod(out, out=out)
+    if n <= 1 << 22:
+        _KNOWN[int(base)] = out
+    return out[:n]
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +46,17 @@ def ending(text: str | None) -> tuple[str, int]:
     t = text.rstrip(_SPACE)
     if not t:
         return BLANK, 0
-    if m := _MARK.search(t):
-        base = t[: m.start()].rstrip(_SPACE)
-        if not base or _OPEN_ENDED.search(base):
+    last = t[-80:]
+    if m := _MARK.search(last):
+        base = t[: len(t) - len(m.group())].rstrip(_SPACE)
+        last = base[-80:]
+        if not base or _OPEN_ENDED.search(last):
             return CLOSED, len(t)
         plain = m.group() in ("...", "…")
-        return (CLOSED if plain and not re.search(r"[\w,;£€$%-]$", base) else CUT), len(base)
-    if t[-1] == "�" or t[-1] in ",;([{“«&/£€$+=-–—" and not _CLOSED.search(t):
+        return (CLOSED if plain and not re.search(r"[\w,;£€$%-]", base[-1]) else CUT), len(base)
+    if t[-1] == "�" or t[-1] in ",;([{“«&/£€$+=-–—" and not _CLOSED.search(last):
         return CUT, len(t)
-    return (CLOSED if _CLOSED.search(t) else OPEN), len(t)
+    return (CLOSED if _CLOSED.search(last) else OPEN), len(t)
 
 
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]\s(?=\S{1,30}(?:\s\S+){0,7}$)|[a-z][.)])\s+\S")
@@ -143,23 +146,28 @@ def _closing_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ends), pa.array(total.astype(np.int64))], ["k", "ends", "total"])
 
 
+#: Characters at the end of a text that its kind of ending, last line and closing words are read from.
+TAIL = 1000
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, source, same, text) -> (id, source, same, kind, length, pair, word, keys)."""
     for b in batches:
         col = whole(b.column(3))
-        raw, at = string_bytes(col)
+        # how a text ends shows in its last characters; the rest of it goes into the sketch and the statistics
+        tails = pc.utf8_slice_codeunits(col, -TAIL)
         kinds, lengths, forms = [], [], []
-        for t in col.to_pylist():
-            k, n = ending(t)
+        for t, n in zip(tails.to_pylist(), pc.utf8_length(col).to_pylist()):
+            k, end = ending(t)
             kinds.append(k)
-            lengths.append(n)
+            lengths.append(n - len(t) + end)
             forms.append(last_line(t) if k == OPEN else None)
-        owner, pair, word, _ = closings(raw, at)
+        owner, pair, word, _ = closings(*string_bytes(tails))
         last = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, int)
         pairs, words_ = np.zeros(len(col), np.uint64), np.zeros(len(col), np.uint64)
         pairs[owner[last]], words_[owner[last]] = pair[last], word[last]
         folded, fat = string_bytes(_fold(col))
-        h, own = distinct_pairs(*shingle_hashes(*word_hashes(folded, fat), WORDS))
+        h, own = shingle_hashes(*word_hashes(folded, fat), WORDS)  # repeats don't change a minimum
         who, slots = _slots(h, own, len(col), BANDS * ROWS, 9)
         chain = _chains(slots, ROWS, 9 << 32)
         counts = np.zeros(len(col), np.int64)
