@@ -75,8 +75,9 @@ _LOWERED = re.compile("[ãâåä](?=[^\x00-\x7fa-zßàáâäåæçèéêëìíî
 
 
 def _raised(text: str) -> str:
-    """Undo lower-casing of lead characters: a lower-case one before a sign can't be text."""
-    return _LOWERED.sub(lambda m: m.group() if m.group() == "â" and text[m.end() : m.end() + 1] in "€\x80" else m.group().upper(), text)
+    """Undo lower-casing of lead characters: a lower-case one before a sign can't be text. The lead of three bytes has
+    no case to lose, so â before two signs stays."""
+    return _LOWERED.sub(lambda m: m.group() if m.group() == "â" and not text[m.end() + 1 : m.end() + 2].isascii() else m.group().upper(), text)
 
 
 def _unescaped(text: str) -> str:
@@ -147,6 +148,8 @@ def _char_cost(p: str, c: str, n: str, before: str, after: str) -> float:
             cost = 0.25
         if c.isupper() and p.islower():
             return 3.0
+        if 0x180 <= ord(c) < 0x250 and c not in "ơƠưƯșțȘȚǎǐǒǔ":
+            return 2.5
         if n.isdigit():
             return 2.5
         if not letter_p and not letter_n:
@@ -232,7 +235,7 @@ def restore(passage: str, most: int = 40) -> tuple[str, float, float, tuple[str,
     heap = [(before, 0, passage, (), 0.0)] if before >= LEAST_GAIN else []
     seen, opened, serial = {hash(passage)}, 0, 0
     while heap and opened < most:
-        _, _, state, path, steps = heapq.heappop(heap)
+        rank, _, state, path, steps = heapq.heappop(heap)
         opened += 1
         if len(path) >= 4:
             continue
@@ -250,9 +253,11 @@ def restore(passage: str, most: int = 40) -> tuple[str, float, float, tuple[str,
                 best = (price, after, (*path, name))
                 if best[0] - paid <= 0.3 * len(_BEYOND.findall(after)):
                     return after, before, price, best[2]
-            if price < before + 3:
+            if price < 1.5 * before + 4:  # a step may look worse before the next puts it right
                 serial += 1
-                heapq.heappush(heap, (price + 0.5 * sum(x != "raise" for x in path), serial, after, (*path, name), paid))
+                # raised leads look as bad as lowered ones until they are decoded: such a state keeps its parent's place
+                place = rank if name == "raise" else price + 0.5 * sum(x != "raise" for x in path)
+                heapq.heappush(heap, (place, serial, after, (*path, name), paid))
     return best[1], before, best[0], best[2]
 
 
