@@ -88,7 +88,7 @@ STOPWORDS = frozenset(
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _LINKED = re.compile(rf"{IMAGE.pattern}|{LINK.pattern}|<a\b[^>]*>.*?</a>|{WIKI_LINK.pattern}|https?://\S+", re.I | re.S)
-_AMBIGUOUS = re.compile(r"^[ \t]*(?:[-*_=~]{3,}|[*#>|:;].*|[-+] .*|\d+[.)] .*)\r?$")
+_AMBIGUOUS = re.compile(r"^[ \t]*(?:[-*_=~]{3,}|[*#>|:;]{1,6}(?:[ \t].*)?|[-+] .*|\d+[.)] .*)\r?$")
 
 
 def _features(block: str) -> tuple[float, int, float]:
@@ -174,11 +174,11 @@ def _from_markdown(text: str) -> str:
 
 def _from_wiki(text: str) -> str:
     text = re.sub(r"\{(code|noformat)(?:[:=][^{}\n]*)?\}\s*(.*?)\s*\{\1\}", lambda m: "\n```\n" + m.group(2) + "\n```\n", text, flags=re.S)
+    text = re.sub(r"^[ \t]*([*#]{1,6})[ \t]+(?=\S)", lambda m: "  " * (len(m.group(1)) - 1) + "- ", text, flags=re.M) if NESTED.search(text) else text
     text = WIKI_HEAD.sub(lambda m: "#" * (len(m.group(1)) - 1) + " " + m.group(2), text)
     text = CONFLUENCE_HEAD.sub(lambda m: "#" * int(m.group(1)) + " ", text)
     text = re.sub(r"^[ \t]*(?:\{\|.*|\|\}|\|-+)[ \t]*\r?$\n?", "", text, flags=re.M)
     text = re.sub(r"^[ \t]*\|\|?(.*)$", lambda m: " | ".join(c.strip() for c in m.group(1).strip("| ").split("||")), text, flags=re.M)
-    text = re.sub(r"^[ \t]*([*#]{1,6})[ \t]+(?=\S)", lambda m: "  " * (len(m.group(1)) - 1) + "- ", text, flags=re.M) if NESTED.search(text) else text
 
     def template(m: re.Match) -> str:
         name, body = m.group(1).strip().lower(), m.group(2) or ""
