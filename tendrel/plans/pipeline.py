@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from tendrel.functions import rules
 from tendrel.operators import chunking, drafting, index, verdict
 from tendrel.operators.extract import doc_lines, extract
+from tendrel.session import materialise
 
 
 def assess(requirements: DataFrame, chunks: DataFrame, answered_at: float = verdict.ANSWERED_AT, weak_at: float = verdict.WEAK_AT, key: str = "key") -> DataFrame:
     """requirements (key bigint, …, binding, tokens) with coverage, relevance, evidence, supporting, verdict, critical and
     citation, against chunks (chunk_ix, doc, heading, tokens)."""
-    ranked = index.best_sections(requirements, chunks, key)
+    # both sides are read by several steps: tokens are cut once and written without the texts they came from
+    requirements, chunks = materialise(requirements), materialise(chunks.select("chunk_ix", "doc", "heading", "tokens"))
+    ranked = materialise(index.best_sections(requirements, chunks, key))
     covered = index.coverage(requirements, ranked, chunks, key)
     names = chunks.select(F.col("chunk_ix").alias("evidence"), chunking.citation(F.col("doc"), F.col("heading")).alias("best"))
     scored = requirements.join(covered, key).join(names, "evidence", "left")

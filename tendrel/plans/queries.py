@@ -11,13 +11,13 @@ from tendrel.functions import rules
 from tendrel.functions import text as T
 from tendrel.operators import chunking, drafting, extract, index, verdict
 from tendrel.plans import pipeline
-from tendrel.session import table
+from tendrel.session import materialise, spread, table
 
 L = "bigint"
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top3_evidence(spark: SparkSession, d: str) -> DataFrame:
-    ranked = index.best_sections(asked(spark, d), library(spark, d), "key")
+    ranked = index.best_sections(asked(spark, d), materialise(library(spark, d).select("chunk_ix", "tokens")), "key")
     return ranked.select("key", "chunk_ix", F.col("rank").cast(L).alias("rank"), F.round("score", 6).alias("score"))
 
 
