@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendrel.llm.common import _powers, _BASE, _INVERSE, distinct_pairs, mix, shingle_hashes, string_bytes, whole, word_hashes
+from tendrel.llm.language import FUNCTION_WORDS
 from tendrel.llm.neardup import _chains, _fold, _slots
 from tendrel.session import materialise
 
@@ -56,24 +57,33 @@ def ending(text: str | None) -> tuple[str, int]:
         return (CLOSED if plain and not re.search(r"[\w,;£€$%-]", base[-1]) else CUT), len(base)
     if t[-1] == "�" or t[-1] in ",;([{“«&/£€$+=-–—" and not _CLOSED.search(last):
         return CUT, len(t)
-    return (CLOSED if _CLOSED.search(last) else OPEN), len(t)
+    if _CLOSED.search(last):
+        return CLOSED, len(t)
+    # a single blank behind a word is where the next word was cut away; line breaks and padding say nothing
+    return (CUT if text[len(t) :] == " " else OPEN), len(t)
 
 
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]\s(?=\S{1,30}(?:\s\S+){0,7}$)|[a-z][.)])\s+\S")
-ITEM, ROW, LONE, SENTENCE = "item", "row", "lone", "sentence"
+ITEM, ROW, LONE, SIGNED, SENTENCE = "item", "row", "lone", "signed", "sentence"
+#: A short line of words only, as stands above a name at the end of a letter.
+_SIGN_OFF = re.compile(r"^\s*[^\W\d_]+(?: [^\W\d_]+){0,5},?\s*$")
+_FUNCTION = frozenset(" ".join(FUNCTION_WORDS.values()).split())
 
 
 def last_line(text: str) -> str:
-    """The form of the last line: list item, row of cells, lone (a name, heading or sign-off that stands by itself) or
-    sentence."""
+    """The form of the last line: list item, row of cells, signed (a name under a closing phrase), lone (a heading or
+    other short line that stands by itself) or sentence."""
     lines = [x for x in text.rstrip(_SPACE).splitlines() if x.strip(_SPACE)]
     line = lines[-1].strip(_SPACE) if lines else ""
     if "|" in line:
         return ROW
     if _ITEM.match(line):
         return ITEM
-    n = len(line.split())
+    words = line.split()
+    n = len(words)
     before = lines[-2].rstrip(_SPACE) if len(lines) > 1 else ""
+    if n <= 4 and _SIGN_OFF.match(before) and line[0].isupper() and words[-1].lower() not in _FUNCTION:
+        return SIGNED
     if line.startswith("#") or (n <= 7 and len(lines) > 1 and not re.match(r"\(?(?:[A-Z]?\d+[.:)]|\d+\.\d)", line) and (n <= 4 or line.istitle() or _CLOSED.search(before) or len(before.split()) <= 4)):
         return LONE
     return SENTENCE
@@ -99,13 +109,13 @@ for _c in b".!?\n\r":
 _NAME = np.uint64(0x5851F42D4C957F2D)
 
 
-def closings(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, hash of the word and the one before, hash of the word, whether a sentence or line ends after it) of every
-    word of all values. Digits count as one digit, names inside a sentence as one name."""
+def closings(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hashes of the word with the two before, with the one before, and alone, whether a sentence or line ends
+    after it) of every word of all values. Digits count as one digit, names inside a sentence as one name."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), z, z, np.zeros(0, bool)
+        return np.zeros(0, np.int64), z, z, z, np.zeros(0, bool)
     v = _LETTER[raw].copy()
     digit = _IS_DIGIT[raw]
     joint = np.zeros(n, bool)
@@ -133,16 +143,26 @@ def closings(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     word[name] = _NAME
     previous = np.concatenate((np.zeros(1, np.uint64), word[:-1]))
     previous[first | np.concatenate(([True], closes[:-1]))] = np.uint64(1)
-    return owner, mix(previous * np.uint64(0x9E3779B97F4A7C15) + word), word, closes
+    pair = mix(previous * np.uint64(0x9E3779B97F4A7C15) + word)
+    before_pair = np.concatenate((np.zeros(1, np.uint64), pair[:-1]))
+    before_pair[previous == 1] = np.uint64(1)
+    return owner, mix(before_pair * np.uint64(0xC2B2AE3D27D4EB4F) + word), pair, word, closes
 
 
 def _closing_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and ends of each closing, added up within the batch."""
     for b in batches:
-        _, pair, word, closes = closings(*string_bytes(whole(b.column(0))))
-        key = np.concatenate((pair, word))
+        col = whole(b.column(0))
+        owner, triple, pair, word, closes = closings(*string_bytes(col))
+        # an open end in a sentence or list may be a cut: its last word is no occurrence, or copies of a cut text would
+        # vouch for each other; other last words are occurrences and ends
+        doubtful = np.array([(e := ending(t)[0]) == CUT or e == OPEN and last_line(t) in (SENTENCE, ITEM) for t in pc.fill_null(pc.utf8_slice_codeunits(col, -TAIL), "").to_pylist()], bool)
+        last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
+        keep = ~(last & doubtful[owner])
+        triple, pair, word, closes = triple[keep], pair[keep], word[keep], closes[keep]
+        key = np.concatenate((triple, pair, word))
         value, back, total = np.unique(key, return_inverse=True, return_counts=True)
-        ends = np.bincount(back, weights=np.concatenate((closes, closes)), minlength=len(value)).astype(np.int64)
+        ends = np.bincount(back, weights=np.tile(closes, 3), minlength=len(value)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ends), pa.array(total.astype(np.int64))], ["k", "ends", "total"])
 
 
@@ -151,7 +171,7 @@ TAIL = 1000
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, source, same, text) -> (id, source, same, kind, length, pair, word, keys)."""
+    """(id, source, same, text) -> (id, source, same, kind, line, length, triple, pair, word, keys)."""
     for b in batches:
         col = whole(b.column(3))
         # how a text ends shows in its last characters; the rest of it goes into the sketch and the statistics
@@ -162,10 +182,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds.append(k)
             lengths.append(n - len(t) + end)
             forms.append(last_line(t) if k == OPEN else None)
-        owner, pair, word, _ = closings(*string_bytes(tails))
+        owner, triple, pair, word, _ = closings(*string_bytes(tails))
         last = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, int)
-        pairs, words_ = np.zeros(len(col), np.uint64), np.zeros(len(col), np.uint64)
-        pairs[owner[last]], words_[owner[last]] = pair[last], word[last]
+        ends_in = np.zeros((3, len(col)), np.uint64)
+        ends_in[:, owner[last]] = triple[last], pair[last], word[last]
         folded, fat = string_bytes(_fold(col))
         h, own = shingle_hashes(*word_hashes(folded, fat), WORDS)  # repeats don't change a minimum
         who, slots = _slots(h, own, len(col), BANDS * ROWS, 9)
@@ -176,10 +196,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0), b.column(1), b.column(2), pa.array(kinds), pa.array(forms, pa.string()), pa.array(lengths, pa.int32()),
-                pa.array(pairs.view(np.int64)), pa.array(words_.view(np.int64)),
+                *(pa.array(x.view(np.int64)) for x in ends_in),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(chain.ravel().view(np.int64))),
             ],
-            ["id", "source", "same", "kind", "line", "length", "pair", "word", "keys"],
+            ["id", "source", "same", "kind", "line", "length", "triple", "pair", "word", "keys"],
         )
 
 
@@ -245,9 +265,10 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, kind, line, aligned, share, at_limit, truncated) of every document with a non-blank text.
 
-    kind: how the text ends by its last signs (closed, cut, open). Open ends are decided in this order: near-copies
+    kind: how the text ends by its last signs (closed, cut, open); a mark for a missing rest, half a character, an open
+    bracket or a single blank behind the last word are cuts. line: the form of an open text's last line. Open ends are decided in this order: near-copies
     (five-word runs, likeness 0.8) whose alignment goes on there (aligned true) or closes there (false); whether many
-    open texts of the source end at the same length (at_limit); how often the closing word pair, or word, ends a
+    open texts of the source end at the same length (at_limit); how often the closing three, two or one words end a
     sentence or line in the whole collection (share, against TERMINAL_SHARE).
 
     Null and blank texts and null keys give no row; repeated keys count once; a null source is a source of its own;
@@ -258,21 +279,28 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     pairs.
     """
     rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("same", F.sha2("text", 256))
-    docs = materialise(rows.select("id", "source", "same", "text").mapInArrow(_profile, f"id {df.schema[key].dataType.simpleString()}, source {df.schema[source].dataType.simpleString()}, same string, kind string, line string, length int, pair bigint, word bigint, keys array<bigint>").where(F.col("kind") != BLANK).dropDuplicates(["id"]))
-    reps = docs.groupBy("same").agg(F.min("id").alias("id"), F.first("kind").alias("kind"), F.first("pair").alias("pair"), F.first("word").alias("word"), F.first("keys").alias("keys"))
+    docs = materialise(rows.select("id", "source", "same", "text").mapInArrow(_profile, f"id {df.schema[key].dataType.simpleString()}, source {df.schema[source].dataType.simpleString()}, same string, kind string, line string, length int, triple bigint, pair bigint, word bigint, keys array<bigint>").where(F.col("kind") != BLANK).dropDuplicates(["id"]))
+    reps = docs.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("kind", "line", "triple", "pair", "word")), F.first("keys").alias("keys"))
     reps = materialise(reps)
     unsure = reps.where(F.col("kind") == OPEN)
 
     stats = rows.select("text").mapInArrow(_closing_stats, "k bigint, ends bigint, total bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
-    wanted = unsure.select("same", F.explode(F.array(F.struct(F.lit(2).alias("n"), F.col("pair").alias("k")), F.struct(F.lit(1).alias("n"), F.col("word").alias("k")))).alias("w")).select("same", "w.n", "w.k")
+    levels = F.array(*(F.struct(F.lit(n).alias("n"), F.col(c).alias("k")) for n, c in ((3, "triple"), (2, "pair"), (1, "word"))))
+    wanted = unsure.select("same", F.explode(levels).alias("w")).select("same", "w.n", "w.k")
     scored = (
         stats.join(wanted.select("k").distinct(), "k", "left_semi").join(wanted, "k")
-        .groupBy("same").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2) for c in ("ends", "total")))
+        .groupBy("same").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2, 3) for c in ("ends", "total")))
     )
-    # the text's own last word says nothing about itself: one occurrence and one end less
-    share = F.when(F.col("total2") > 4, (F.col("ends2") - 1) / (F.col("total2") - 1)).when(F.col("total1") > 2, (F.col("ends1") - 1) / (F.col("total1") - 1))
+    # the text's own last word, where it was counted, says nothing about itself: one occurrence and one end less; rare
+    # triples give way to pairs, rare pairs to the word
+    own = F.col("line").isin(LONE, ROW, SIGNED).cast("int")
+    enough = {3: 3, 2: 3, 1: 1}
+    share = F.lit(None).cast("double")
+    for n in (1, 2, 3):
+        share = F.when(F.col(f"total{n}") - own > enough[n], (F.col(f"ends{n}") - own) / (F.col(f"total{n}") - own)).otherwise(share)
+    scored = unsure.select("same", "line").join(scored, "same", "left")
     scored = scored.withColumn("share", share)
-    scored = scored.select("same", "share", (F.col("total1") <= 2).alias("unknown"))
+    scored = scored.select("same", "share", F.coalesce(F.col("total1") - own <= enough[1], F.lit(True)).alias("unknown"))
 
     left, right = unsure.select("id", F.explode("keys").alias("k")), reps.select(F.col("id").alias("other_id"), F.explode("keys").alias("k"))
     pairs = materialise(left.join(right, "k").where("id <> other_id").select("id", "other_id").distinct())
@@ -302,7 +330,7 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     )
     share, line = F.coalesce("share", F.lit(0.0)), F.col("line")
     by_words = (
-        F.when(line == LONE, F.col("unknown") & F.lit(False) | ~F.col("unknown") & (share < LONE_SHARE))
+        F.when(line == SIGNED, False).when(line == LONE, ~F.col("unknown") & (share < LONE_SHARE))
         .when(line.isin(ITEM, ROW), F.when(F.col("unknown"), True).otherwise(share < ITEM_SHARE))
         .otherwise(F.col("unknown") | (share < TERMINAL_SHARE))
     )

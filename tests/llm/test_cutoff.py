@@ -10,13 +10,13 @@ SCHEMA = "doc_id bigint, text string, source string, kind string"
 @pytest.mark.parametrize("text, kind", [
     ("All is said.", c.CLOSED), ("All is said (see lot 4)", c.CLOSED), ("“All is said.”", c.CLOSED), ("Name of bidder: ..............", c.CLOSED), ("More will follow, and so on ...", c.CLOSED), ("desks, phones etc.", c.CLOSED),
     ("Sign here: ______", c.CLOSED), ("A sentence. ...", c.CLOSED), ("cut in mid wor...", c.CUT), ("cut in mid wor…", c.CUT), ("We agreed with [...]", c.CUT), ("the rest (truncated)", c.CUT), ("costs of £41,", c.CUT), ("half a sign �", c.CUT),
-    ("no stop at the end", c.OPEN), ("- a list item", c.OPEN), ("", c.BLANK), (" \n\xa0", c.BLANK), (None, c.BLANK),
+    ("no stop at the end", c.OPEN), ("cut before a ", c.CUT), ("padded  ", c.OPEN), ("line end \n", c.OPEN), ("All is said. ", c.CLOSED), ("- a list item", c.OPEN), ("", c.BLANK), (" \n\xa0", c.BLANK), (None, c.BLANK),
 ])
 def test_endings(text, kind):
     assert c.ending(text)[0] == kind
 
 
-@pytest.mark.parametrize("text, form", [("First line.\n- a list item", c.ITEM), ("x | y | z", c.ROW), ("It is done.\nKind regards\nThe bid office", c.LONE), ("It is done.\nThe grants console logs are kept for many years by", c.SENTENCE), ("3.1.2 The Supplier shall", c.SENTENCE), ("# Head", c.LONE)])
+@pytest.mark.parametrize("text, form", [("First line.\n- a list item", c.ITEM), ("x | y | z", c.ROW), ("It is done.\nKind regards\nThe bid office", c.SIGNED), ("It is done.\nRelease Planning\nThe", c.LONE), ("It is done.\nThe grants console logs are kept for many years by", c.SENTENCE), ("3.1.2 The Supplier shall", c.SENTENCE), ("# Head", c.LONE)])
 def test_last_lines(text, form):
     assert c.last_line(text) == form
 
