@@ -17,26 +17,45 @@ from tendrel.session import materialise
 
 @dataclass(frozen=True)
 class Sketch:
-    """bands chains of rows consecutive segments make up a record's ring of bands * rows min-hash segments.
-
-    A shingle in more than hot of all records says nothing about copying and takes no part in the chains of the rare
-    ring; records that are hot by half or more also enter with chains over all their shingles (`full` of them, of
-    full_rows segments), so none is lost. slack is what the sketch may differ beyond the expected share, in standard
-    deviations.
+    """Chains of rows consecutive min-hash segments over all of a record's shingles, as many as its hot share needs.
+
+    A shingle in more than hot of all records says nothing about copying: a chain whose segments all come from hot
+    shingles is no key. With f the smaller hot share of two records alike at t or more, shared hot shingles are at most f
+    of their union, so a chain is equal and a key in both with probability t ** rows - f ** rows at least. A record of hot
+    share f has the first bands(t, f) chains, which grow with f, so a pair shares what its less hot record needs and is
+    missed with a probability of at most miss. Records whose hot share is above near of t also have chains over everything
+    (`full` of them at least, of full_rows segments), by which two such records find each other. slack is what the sketch
+    may differ beyond the expected share, in standard deviations.
     """
 
-    bands: int = 64
     rows: int = 3
     hot: float = 0.02
+    near: float = 0.9
     full: int = 160
     full_rows: int = 4
+    miss: float = 9e-5
     slack: float = 4.5
 
+    def bands(self, t: float, f: np.ndarray) -> np.ndarray:
+        """Chains that records of hot shares f need; those above near * t have as many as those at it."""
+        chance = t**self.rows - np.minimum(f, self.near * t) ** self.rows
+        return self._chains_for(chance)
+
+    def full_bands(self, t: float) -> int:
+        return max(self.full, int(self._chains_for(np.float64(t**self.full_rows))))
+
+    def _chains_for(self, chance: np.ndarray) -> np.ndarray:
+        return np.ceil(np.log(self.miss) / np.log1p(-np.minimum(chance, 1 - 1e-9))).astype(np.int64)
+
 
 #: Bits of the ring that candidates are tested on; each is one bit of a min-hash over all of a text's shingles.
 RING_BITS = 256
 
 
+#: Texts worked on at once, so that what a batch needs stays small.
+SLICE = 2000
+
+
 def _fold(col: pa.Array) -> pa.Array:
     """The two signs outside ASCII whose lower case has an ASCII letter, as str.lower has it; the bytes do the rest."""
     if pc.any(pc.match_substring_regex(col, "[Kİ]")).as_py():
@@ -46,8 +65,11 @@ def _fold(col: pa.Array) -> pa.Array:
 
 def _sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed runs of n words of each text: (hashes, owner), sorted by owner, then hash."""
-    raw, at = string_bytes(_fold(col))
-    return distinct_pairs(*shingle_hashes(*word_hashes(raw, at), n))
+    parts = []
+    for i in range(0, len(col), SLICE):
+        h, owner = distinct_pairs(*shingle_hashes(*word_hashes(*string_bytes(_fold(col[i : i + SLICE]))), n))
+        parts.append((h, owner + i))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _lengths(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +92,40 @@ def _slots(h: np.ndarray, owner: np.ndarray, n: int, slots: int, seed: int) -> t
     return owner[start], np.ascontiguousarray(out.T)
 
 
+def _gated(h: np.ndarray, owner: np.ndarray, rare: np.ndarray, bands: np.ndarray, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, key), sorted by owner, of each value's first bands chains that hold a segment of a rare shingle."""
+    who, keys = [], []
+    h = mix(h ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    x, step, mark = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1), rare.astype(np.uint32)
+    need = bands[owner]
+    start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    for band in range(int(need.max(initial=0))):
+        if band % 16 == 0:  # values that have all their chains leave
+            stay = need > band
+            if not stay.all():
+                x, step, mark, need, owner = x[stay], step[stay], mark[stay], need[stay], owner[stay]
+                start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        key, any_rare = np.full(len(start), mix(np.array([(seed << 32) + band], np.uint64))[0]), np.zeros(len(start), bool)
+        for _ in range(rows):
+            x += step
+            y = x >> np.uint32(15)
+            y ^= x
+            # the lowest bit says whether the least shingle is a rare one
+            y &= np.uint32(0xFFFFFFFE)
+            y |= mark
+            least = np.minimum.reduceat(y, start)
+            any_rare |= (least & np.uint32(1)).astype(bool)
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+        ok = any_rare & (need[start] > band)
+        who.append(owner[start][ok])
+        keys.append(key[ok])
+    if not who:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    who, keys = np.concatenate(who), np.concatenate(keys)
+    order = np.argsort(who, kind="stable")
+    return who[order], keys[order]
+
+
 def _chains(slots: np.ndarray, rows: int, tag: int) -> np.ndarray:
     """One 64-bit key for each chain of rows consecutive segments."""
     n, m = slots.shape
@@ -130,34 +186,31 @@ def near_pairs(
 
     Method (pigeonring): each text is a ring of min-hash segments; two texts at the threshold differ in at most a
     known number of them, up to sampling. A candidate needs a chain of `rows` consecutive equal segments from a fixed
-    start; around the ring from some segment, every chain's cumulative differences must then stay within the
+    start, not all of hot shingles (see Sketch for how many chains a text needs); around the ring from some segment, every chain's cumulative differences must then stay within the
     proportional budget; only what remains is checked exactly. Keys are joined by sort-merge, so a hot key is split by
     adaptive execution; equal texts are one row before that. No pair is capped.
     """
-    ring = sketch.bands * sketch.rows
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     hot = df.sparkSession.sparkContext.broadcast(hot_shingles(texts.select("text"), sketch.hot, words))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole_batch[i : i + SLICE] for whole_batch in batches for i in range(0, whole_batch.num_rows, SLICE)):
             col = whole(b.column(1))
             h, owner = _sets(col, words)
             every, _ = _lengths(owner, len(col))
             rare = ~np.isin(h, hot.value)
             kept = np.bincount(owner[rare], minlength=len(col))
-            who, slots = _slots(h[rare], owner[rare], len(col), ring, 1)
-            own_keys = _chains(slots, sketch.rows, 1 << 32)
-            heavy = (kept * 2 <= every) & (every > 0)
+            share = 1 - kept / np.maximum(every, 1)
+            who, own = _gated(h, owner, rare, sketch.bands(threshold, share), sketch.rows, 1)
+            heavy = (share > sketch.near * threshold) & (every > 0)
             sel = heavy[owner]
-            who2, slots2 = _slots(h[sel], owner[sel], len(col), sketch.full * sketch.full_rows, 2)
-            more = _chains(slots2, sketch.full_rows, 2 << 32)
-            keys = [None] * len(col)
-            for i, w in enumerate(who):
-                keys[w] = own_keys[i]
-            for i, w in enumerate(who2):
-                keys[w] = more[i] if keys[w] is None else np.concatenate((keys[w], more[i]))
-            flat = np.concatenate([k for k in keys if k is not None]) if any(k is not None for k in keys) else np.zeros(0, np.uint64)
-            ends = np.concatenate(([0], np.cumsum([0 if k is None else len(k) for k in keys]))).astype(np.int32)
+            full = sketch.full_bands(threshold)
+            who2, slots2 = _slots(h[sel], owner[sel], len(col), full * sketch.full_rows, 2)
+            who = np.concatenate((who, np.repeat(who2, full)))
+            order = np.argsort(who, kind="stable")
+            flat = np.concatenate((own, _chains(slots2, sketch.full_rows, 2 << 32).ravel()))[order]
+            _, ends = _lengths(who, len(col))
+            ends = ends.astype(np.int32)
             # the ring over all shingles for the chain test: a bit of each min-hash, eight to a segment
             who3, slots3 = _slots(h, owner, len(col), RING_BITS, 3)
             rings = [None] * len(col)
@@ -174,7 +227,8 @@ def near_pairs(
         signed.groupBy("same").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("ring").alias("ring"), F.first("keys").alias("keys")).where("size > 0").drop("same")
     )
     keyed = reps.select("id", F.explode("keys").alias("k"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = pairs.repartition("a").distinct()  # by a alone, as the next join needs them
     side = reps.select("id", "size", "ring")
     near = materialise(
         pairs.join(side.toDF("a", "size_a", "ring_a"), "a")

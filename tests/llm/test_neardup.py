@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,51 @@ def test_hot_texts_find_each_other(frame):
     assert {tuple(r)[:2] for r in links.collect()} == brute(rows)
 
 
+def boilerplate(seed, pairs=130):
+    """Pairs of texts alike at 0.5 to 0.6 that share a block which a quarter of all texts hold: it makes up 0.3 to 0.5 of
+    the longer text and up to nine tenths of the other."""
+    r = random.Random(seed)
+    new = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    blocks = [new(62) for _ in range(4)]  # 60 runs each
+    rows = []
+    for i in range(pairs):
+        long = round(60 / r.uniform(0.3, 0.5))
+        like = r.uniform(0.5, 0.6)
+        block, least = blocks[i % 4], max(2, int(like * long) - 60 + 3)
+        if i % 2:  # nearly all of the shorter text is in the longer one
+            shared = new(least)
+            rows += [(2 * i, f"{block} {shared} {new(max(0, long - 60 - least))}", "x", 1), (2 * i + 1, f"{block} {shared}", "x", 1)]
+        else:
+            shared = new(round(long * 2 * like / (1 + like)) - 60 + 3)
+            own = max(0, long - 60 - len(shared.split()))
+            rows += [(2 * i, f"{block} {shared} {new(own)}", "x", 1), (2 * i + 1, f"{block} {shared} {new(own)}", "x", 1)]
+    return rows
+
+
+def test_shared_boilerplate_hides_no_pair(frame):
+    rows = boilerplate(4)
+    links, _ = nd.near_pairs(frame(rows, SCHEMA))
+    want = brute(rows)
+    assert len(want) > 100 and {tuple(r)[:2] for r in links.collect()} == want
+
+
+@pytest.mark.parametrize("hot, rare, other, shared", [(60, 8, 61, 8), (48, 12, 72, 12), (36, 24, 84, 24), (40, 60, 60, 27)])
+def test_chains_of_mixed_pairs(hot, rare, other, shared):
+    """Two texts of hot runs and rare ones, shared of these in both: a chain in common whatever the hot shares."""
+    r, n = np.random.default_rng(1), 300
+    draw = lambda k: r.integers(0, 1 << 62, k, dtype=np.uint64)
+    h, size = [], (hot + rare, hot + other)
+    for _ in range(n):
+        both = draw(hot + shared)
+        h += [both, draw(rare - shared), both, draw(other - shared)]
+    owner = np.repeat(np.arange(2 * n), np.tile(size, n))
+    is_rare = np.concatenate([np.arange(size[i % 2]) >= hot for i in range(2 * n)])
+    bands = nd.Sketch().bands(0.5, np.array([hot / size[0], hot / size[1]] * n))
+    who, keys = nd._gated(np.concatenate(h), owner, is_rare, bands, nd.Sketch().rows, 1)
+    of = [set(keys[who == i].tolist()) for i in range(2 * n)]
+    assert all(of[2 * i] & of[2 * i + 1] for i in range(n))
+
+
 def test_large_classes_stay_linear(frame):
     text = "the same nine words stand in each of these"
     rows = [(i, text, "x", 1) for i in range(100)] + [(200, text + " here", "x", 1)]
