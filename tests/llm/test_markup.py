@@ -84,3 +84,33 @@ def test_prefilter_lets_markup_through(spark, text):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(m.CANDIDATE)).count() == 1
+
+
+LONG = "many words of a paragraph " * 40 + "end"
+
+
+@pytest.mark.parametrize("text, kind, want", [
+    (f"**{LONG}**", "markdown", LONG), (f"_{LONG}_", "markdown", LONG), (f"~~{LONG}~~", "markdown", LONG), (f"`{LONG}`", "markdown", LONG), (f"''{LONG}''", "wiki", LONG),
+    (f"\\({LONG}\\)", "latex", f"${LONG}$"), (f"\\[ {LONG} \\]", "latex", f"$$ {LONG} $$"), (f"$a = {LONG}$", "latex", f"$a = {LONG}$"),
+])
+def test_long_signs(text, kind, want):
+    assert m.clean(text) == (want, [kind])
+
+
+def test_unclosed_signs_stay_fast():
+    import time
+
+    began = time.monotonic()
+    for sign in ("\\(", "\\[", " *a", " _a", " `a", "$a\\", "''a ", "~~a"):
+        m.kinds(sign * 20_000)
+    assert time.monotonic() - began < 30
+
+
+def test_prefilter_covers_conversion(spark):
+    """Whatever has a sign reaches Python."""
+    from pyspark.sql import functions as F
+
+    texts = [c[0] for c in test_conversion.pytestmark[0].args[1]] + ["- [x] done", "  + [ ] open", "a|b\n--|--\nc|d", "h1.\tHead", f"\\[{LONG}\\]"]
+    assert all(m.kinds(t) for t in texts)
+    left = spark.createDataFrame([(t,) for t in texts], "t string").where(~F.col("t").rlike(m.CANDIDATE)).collect()
+    assert left == []
