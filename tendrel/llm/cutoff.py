@@ -156,7 +156,8 @@ def _closing_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         owner, triple, pair, word, closes = closings(*string_bytes(col))
         # an open end in a sentence or list may be a cut: its last word is no occurrence, or copies of a cut text would
         # vouch for each other; other last words are occurrences and ends
-        doubtful = np.array([(e := ending(t)[0]) == CUT or e == OPEN and last_line(t) in (SENTENCE, ITEM) for t in pc.fill_null(pc.utf8_slice_codeunits(col, -TAIL), "").to_pylist()], bool)
+        bare, tails = _tails(pc.fill_null(col, ""))
+        doubtful = np.array([(e := ending(t)[0]) == CUT or e == OPEN and _form(bare, i, t) in (SENTENCE, ITEM) for i, t in enumerate(tails.to_pylist())], bool)
         last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
         keep = ~(last & doubtful[owner])
         triple, pair, word, closes = triple[keep], pair[keep], word[keep], closes[keep]
@@ -166,22 +167,37 @@ def _closing_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ends), pa.array(total.astype(np.int64))], ["k", "ends", "total"])
 
 
-#: Characters at the end of a text that its kind of ending, last line and closing words are read from.
+#: Characters at the end of a text, blanks behind it left out, that its kind of ending and closing words are read from.
 TAIL = 1000
 
 
+def _tails(col: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(texts without the blanks at their ends, the last TAIL characters of these, and the blank if it was just one)."""
+    bare = pc.utf8_rtrim(col, characters=_SPACE)
+    single = pc.and_(pc.equal(pc.utf8_length(col), pc.add(pc.utf8_length(bare), 1)), pc.ends_with(col, " "))
+    blank = pc.if_else(single, pa.scalar(" ", col.type), pa.scalar("", col.type))
+    return bare, pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, -TAIL), blank, pa.scalar("", col.type))
+
+
+def _form(bare: pa.Array, i: int, tail: str) -> str:
+    """The form of text i's last line; the whole text is read where its last two lines may begin before the tail."""
+    if len(tail) >= TAIL and sum(bool(x.strip(_SPACE)) for x in tail.splitlines()) < 3:
+        tail = bare[i].as_py()
+    return last_line(tail)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, source, same, text) -> (id, source, same, kind, line, length, triple, pair, word, keys)."""
     for b in batches:
         col = whole(b.column(3))
         # how a text ends shows in its last characters; the rest of it goes into the sketch and the statistics
-        tails = pc.utf8_slice_codeunits(col, -TAIL)
+        bare, tails = _tails(col)
         kinds, lengths, forms = [], [], []
-        for t, n in zip(tails.to_pylist(), pc.utf8_length(col).to_pylist()):
+        for i, (t, n) in enumerate(zip(tails.to_pylist(), pc.utf8_length(bare).to_pylist())):
             k, end = ending(t)
             kinds.append(k)
-            lengths.append(n - len(t) + end)
-            forms.append(last_line(t) if k == OPEN else None)
+            lengths.append(max(0, n - TAIL) + end)
+            forms.append(_form(bare, i, t) if k == OPEN else None)
         owner, triple, pair, word, _ = closings(*string_bytes(tails))
         last = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, int)
         ends_in = np.zeros((3, len(col)), np.uint64)

@@ -75,3 +75,16 @@ def test_field_limits(frame):
 
 def test_empty(frame):
     assert c.cut_off(frame([], SCHEMA)).collect() == []
+
+
+def test_padding_and_long_last_lines(frame):
+    """Blanks behind a text and the length of its last line don't change what it is."""
+    docs = corpus(200, 9)
+    cut = docs[0][1][:-30].rstrip(" .")
+    item = "It is done.\n- " + docs[1][1].replace(".", "")[:1100] + " " + docs[2][1].replace(".", "")[:600].rstrip()
+    rows = docs + [(900, cut, "a", "x"), (901, cut + " " * 1500, "b", "x"), (902, cut + "\xa0" * 999 + " ", "b", "x"), (903, cut + " ", "b", "x"), (904, item, "b", "x"), (905, "All is said." + " " * 3000, "b", "x"), (906, " " * 3000, "b", "x")]
+    got = {r["doc_id"]: r for r in c.cut_off(frame(rows, SCHEMA)).collect()}
+    assert {got[i]["kind"] for i in (900, 901, 902)} == {c.OPEN} and got[901]["truncated"] == got[902]["truncated"] == got[900]["truncated"]
+    assert got[903]["kind"] == c.CUT and got[904]["line"] == c.ITEM and got[905]["kind"] == c.CLOSED and 906 not in got
+    rates = {r["source"]: r["documents"] for r in c.source_rates(c.cut_off(frame(rows, SCHEMA))).collect()}
+    assert rates["b"] == 5
