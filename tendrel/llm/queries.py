@@ -78,6 +78,11 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(links, classes).withColumnRenamed("id", "chunk_ix")
 
 
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_ix, rep): the least chunk_ix with the same text; with it p6_found's links stand for all members' pairs."""
+    return neardup.text_classes(table(spark, sf_dir, "chunks"), "chunk_ix", "text").withColumnRenamed("id", "chunk_ix")
+
+
 def _containers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     capacity = int(limits(spark, sf_dir)["container_capacity"])
     return packing.fill_containers(table(spark, sf_dir, "documents"), capacity), capacity
@@ -109,7 +114,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_terms, p2_found, p2_clean, p3_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_groups,
+        p1_found, p1_terms, p2_found, p2_clean, p3_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_groups, p6_members,
         p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_sources,
     )
     return {f.__name__: f for f in found}

@@ -121,6 +121,21 @@ def test_large_classes_stay_linear(frame):
     assert len(g) == 101 and {r["group_id"] for r in g.values()} == {0} and {r["links"] for r in g.values()} == {1}
 
 
+def test_members_rebuild_pairs_of_large_classes(spark, frame, tmp_path):
+    """The queries' output alone gives every pair of a class too large to be written out."""
+    from tendrel.llm.queries import queries
+
+    text = "the same nine words stand in each of these"
+    rows = [(i, text, "x", 1) for i in range(70)] + [(200 + i, text + " here", "x", 1) for i in range(2)] + [(300, "nothing of the kind is said in this one", "x", 1)]
+    frame(rows, SCHEMA).write.parquet(str(tmp_path / "chunks.parquet"))
+    frame([("near_duplicate_min", 0.5)], "limit_name string, amount double").write.parquet(str(tmp_path / "size_limits.parquet"))
+    made = {n: [tuple(r) for r in queries()[n](spark, str(tmp_path)).collect()] for n in ("p6_found", "p6_members")}
+    rep = dict(made["p6_members"])
+    assert len(made["p6_members"]) == len(rep) == len(rows)
+    linked = {frozenset((rep[a], rep[b])) for a, b in made["p6_found"]}
+    assert {(a, b) for a in rep for b in rep if a < b and (rep[a] == rep[b] or frozenset((rep[a], rep[b])) in linked)} == brute(rows)
+
+
 def test_components(spark, frame):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (101, 102)]
     links = frame(edges, "a bigint, b bigint")
