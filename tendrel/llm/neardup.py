@@ -184,10 +184,10 @@ def near_pairs(
     case. Null texts and keys and texts of fewer words take no part; repeated rows count once; other columns are
     ignored. A text without words has a class but no links.
 
-    Method (pigeonring): each text is a ring of min-hash segments; two texts at the threshold differ in at most a
+    Method (min-hash banding, then a Hamming threshold): each text is a ring of min-hash segments; two texts at the threshold differ in at most a
     known number of them, up to sampling. A candidate needs a chain of `rows` consecutive equal segments from a fixed
-    start, not all of hot shingles (see Sketch for how many chains a text needs); around the ring from some segment, every chain's cumulative differences must then stay within the
-    proportional budget; only what remains is checked exactly. Keys are joined by sort-merge, so a hot key is split by
+    start, not all of hot shingles (see Sketch for how many chains a text needs); a ring of bits over all shingles must
+    then be within the budget of differences; only what remains is checked exactly. Keys are joined by sort-merge, so a hot key is split by
     adaptive execution; equal texts are one row before that. No pair is capped.
     """
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
@@ -211,7 +211,7 @@ def near_pairs(
             flat = np.concatenate((own, _chains(slots2, sketch.full_rows, 2 << 32).ravel()))[order]
             _, ends = _lengths(who, len(col))
             ends = ends.astype(np.int32)
-            # the ring over all shingles for the chain test: a bit of each min-hash, eight to a segment
+            # the ring over all shingles for the Hamming test: a bit of each min-hash, eight to a segment
             who3, slots3 = _slots(h, owner, len(col), RING_BITS, 3)
             rings = [None] * len(col)
             packed = np.packbits((slots3 & 1).astype(np.uint8), axis=1)
@@ -248,13 +248,12 @@ def near_pairs(
 
 
 def _within(threshold: float, slack: float):
-    """Pigeonring test of candidate pairs on their rings of byte segments.
+    """Hamming test of candidate pairs on their rings.
 
     A bit differs with probability (1 - threshold) / 2 at the threshold, so the rings' Hamming distance is at most
-    t = bits * (1 - threshold) / 2 + slack deviations. If so, some segment starts a chain round the ring whose first l
-    segments hold at most l * t / m differences for every l (strong form): the running sum of (difference - t / m)
-    never rises above its value there. Each start's chain is tested by one running sum; a pair whose chains all break
-    their budget is pruned before its sets are fetched.
+    t = bits * (1 - threshold) / 2 + slack deviations; a pair further apart is pruned before its sets are fetched. No
+    shorter chain is tested: a pair within t always has a start from which every chain keeps its budget, so once the
+    whole distance is at hand, chains prune nothing more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,12 +264,8 @@ def _within(threshold: float, slack: float):
                 continue
             x, y = (np.frombuffer(b"".join(b.column(names.index(c)).to_pylist()), np.uint8).reshape(n, -1) for c in ("ring_a", "ring_b"))
             m, apart = x.shape[1], (1 - threshold) / 2
-            budget = 8 * (apart + slack * np.sqrt(apart * (1 - apart) / (8 * m)))
-            walk = np.cumsum(np.bitwise_count(x ^ y) - budget, axis=1)
-            start = np.argmax(walk, axis=1)  # after the highest point, no chain rises above it again
-            top = walk[np.arange(n), start]
-            ok = (walk[:, -1] <= 1e-9) & (top >= walk[:, -1])
-            ok = pa.array(ok)
+            budget = 8 * m * (apart + slack * np.sqrt(apart * (1 - apart) / (8 * m)))
+            ok = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= budget + 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(names.index("a")).filter(ok), b.column(names.index("b")).filter(ok)], ["a", "b"])
 
     return run
