@@ -37,14 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Shuffle files of a write are of no use once what they led to is written: they go at its end, not with the driver's garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Parquet keeps the copy columnar and compressed, so later readers prune columns; RDD checkpoints do neither.
+    Parquet keeps the copy columnar and compressed, so later readers prune columns; RDD checkpoints do neither. The copy
+    goes when the application ends, or with release().
     """
-    path = f"{shared_dir(df.sparkSession)}/tendrel/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tendrel/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path.toString())
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(path.toString())
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what materialise() has written for this application; no DataFrame built on it can be run after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tendrel/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
