@@ -17,43 +17,70 @@ from tendrel.session import materialise
 
 @dataclass(frozen=True)
 class Sketch:
-    """Chains of rows consecutive min-hash segments over all of a record's shingles, as many as its hot share needs.
-
-    A shingle in more than hot of all records says nothing about copying: a chain whose segments all come from hot
-    shingles is no key. With f the smaller hot share of two records alike at t or more, shared hot shingles are at most f
-    of their union, so a chain is equal and a key in both with probability t ** rows - f ** rows at least. A record of hot
-    share f has the first bands(t, f) chains, which grow with f, so a pair shares what its less hot record needs and is
-    missed with a probability of at most miss. Records whose hot share is above near of t also have chains over everything
-    (`full` of them at least, of full_rows segments), by which two such records find each other. slack is what the sketch
-    may differ beyond the expected share, in standard deviations.
+    """How candidates are found: a ring of min-hash segments over all of a record's shingles, cut into keys of `rows`
+    consecutive equal segments, each the start of a chain of `reach` more whose differences are counted.
+
+    A shingle in more than hot of all records says nothing about copying: a key whose segments all come from hot
+    shingles is none. With f the smaller hot share of two records alike at t or more, shared hot shingles are at most f
+    of their union, so a key is equal in both with probability t ** rows - f ** rows at least; the chain behind it stays
+    within its budgets with probability viable(t). A record of hot share f has bands(t, f) keys, which grow with f, so a
+    pair shares what its less hot record needs, and no key of it starts a viable chain with a probability of at most
+    miss. Records whose hot share is above near of t also have keys of full_rows segments over everything, by which two
+    such records find each other. lean and slack are what a chain and the whole ring may differ beyond the expected
+    share, in standard deviations.
     """
 
     rows: int = 3
     hot: float = 0.02
     near: float = 0.9
-    full: int = 160
     full_rows: int = 4
     miss: float = 9e-5
+    reach: int = 56
+    lean: float = 1.85
     slack: float = 4.5
 
     def bands(self, t: float, f: np.ndarray) -> np.ndarray:
-        """Chains that records of hot shares f need; those above near * t have as many as those at it."""
-        chance = t**self.rows - np.minimum(f, self.near * t) ** self.rows
-        return self._chains_for(chance)
+        """Keys that records of hot shares f need; those above near * t have as many as those at it."""
+        return self._keys_for((t**self.rows - np.minimum(f, self.near * t) ** self.rows) * self.viable(t))
 
     def full_bands(self, t: float) -> int:
-        return max(self.full, int(self._chains_for(np.float64(t**self.full_rows))))
-
-    def _chains_for(self, chance: np.ndarray) -> np.ndarray:
+        return int(self._keys_for(np.float64(t**self.full_rows * self.viable(t))))
+
+    def ring(self, t: float) -> int:
+        """Bands whose segments make up the ring: those every record has, and enough for a chain."""
+        return max(int(self.bands(t, np.float64(0))), -(-self.reach // self.rows) + 1)
+
+    def budgets(self, t: float) -> list[tuple[int, int]]:
+        """(length, differences allowed) of the chain's prefixes, in proportion to their length with the `rows` equal
+        segments they begin with; a segment's bit differs with probability (1 - t) / 2 at the threshold."""
+        apart = (1 - t) / 2
+        share = apart + self.lean * (apart * (1 - apart) / self.reach) ** 0.5
+        return [(n, int((self.rows + n) * share)) for n in range(self.reach // 4, self.reach + 1, self.reach // 4)]
+
+    def viable(self, t: float) -> float:
+        """Probability that a chain of two records at the threshold stays within all its budgets."""
+        apart, allowed = (1 - t) / 2, dict(self.budgets(t))
+        odds = np.zeros(self.reach + 2)
+        odds[0] = 1
+        for n in range(1, self.reach + 1):
+            odds[1:] = odds[1:] * (1 - apart) + odds[:-1] * apart
+            odds[0] *= 1 - apart
+            if n in allowed:
+                odds[allowed[n] + 1 :] = 0
+        return float(odds.sum())
+
+    def _keys_for(self, chance: np.ndarray) -> np.ndarray:
         return np.ceil(np.log(self.miss) / np.log1p(-np.minimum(chance, 1 - 1e-9))).astype(np.int64)
 
 
-#: Bits of the ring that candidates are tested on; each is one bit of a min-hash over all of a text's shingles.
+#: Bits of the ring that the whole Hamming distance is taken on; each is one bit of a min-hash over all of a text's shingles.
 RING_BITS = 256
+#: Steps of the size code to a factor of e; it has 8 bits, the chain the other 56.
+SIZE_STEPS = 16
 
 
-#: Texts worked on at once, so that what a batch needs stays small.
-SLICE = 2000
+#: Texts worked on at once, so that what a batch needs stays small; texts counted together for hot shingles.
+SLICE, COUNTED = 2000, 8000
 
 
 def _fold(col: pa.Array) -> pa.Array:
@@ -92,21 +119,23 @@ def _slots(h: np.ndarray, owner: np.ndarray, n: int, slots: int, seed: int) -> t
     return owner[start], np.ascontiguousarray(out.T)
 
 
-def _gated(h: np.ndarray, owner: np.ndarray, rare: np.ndarray, bands: np.ndarray, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, key), sorted by owner, of each value's first bands chains that hold a segment of a rare shingle."""
-    who, keys = [], []
+def _gated(h: np.ndarray, owner: np.ndarray, rare: np.ndarray, bands: np.ndarray, rows: int, seed: int, ring: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, band, key) of each value's first bands keys that hold a segment of a rare shingle, and the ring: a bit of
+    each segment of the first `ring` bands, values x (ring * rows)."""
+    who, at, keys = [], [], []
+    bits = np.zeros((len(bands), ring * rows), np.uint8)
     h = mix(h ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     x, step, mark = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1), rare.astype(np.uint32)
-    need = bands[owner]
+    need = np.maximum(bands, ring)[owner]
     start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
     for band in range(int(need.max(initial=0))):
-        if band % 16 == 0:  # values that have all their chains leave
+        if band % 16 == 0:  # values that have all their keys leave
             stay = need > band
             if not stay.all():
                 x, step, mark, need, owner = x[stay], step[stay], mark[stay], need[stay], owner[stay]
                 start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
         key, any_rare = np.full(len(start), mix(np.array([(seed << 32) + band], np.uint64))[0]), np.zeros(len(start), bool)
-        for _ in range(rows):
+        for r in range(rows):
             x += step
             y = x >> np.uint32(15)
             y ^= x
@@ -116,14 +145,25 @@ def _gated(h: np.ndarray, owner: np.ndarray, rare: np.ndarray, bands: np.ndarray
             least = np.minimum.reduceat(y, start)
             any_rare |= (least & np.uint32(1)).astype(bool)
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        ok = any_rare & (need[start] > band)
+            if band < ring:
+                bits[owner[start], band * rows + r] = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
+        ok = any_rare & (bands[owner[start]] > band)
         who.append(owner[start][ok])
+        at.append(np.full(ok.sum(), band))
         keys.append(key[ok])
     if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    who, keys = np.concatenate(who), np.concatenate(keys)
-    order = np.argsort(who, kind="stable")
-    return who[order], keys[order]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), bits
+    return np.concatenate(who), np.concatenate(at), np.concatenate(keys), bits
+
+
+def _words_of(bits: np.ndarray, rows: int, reach: int) -> np.ndarray:
+    """The chains of a ring as words, values x bands: bit j of a band's word is the j-th segment behind the band's own."""
+    n, size = bits.shape
+    starts = np.arange(0, size, rows) + rows
+    out = np.zeros((n, len(starts)), np.uint64)
+    for j in range(reach):
+        out |= bits[:, (starts + j) % size].astype(np.uint64) << np.uint64(j)
+    return out
 
 
 def _chains(slots: np.ndarray, rows: int, tag: int) -> np.ndarray:
@@ -139,39 +179,49 @@ def _chains(slots: np.ndarray, rows: int, tag: int) -> np.ndarray:
 def hot_shingles(texts: DataFrame, share: float, n: int) -> np.ndarray:
     """Hashes of the word runs that more than share of all texts hold, by lossy counting over all texts.
 
-    Each batch drops runs it sees in under a tenth of share of its own texts, so counts are low by at most a tenth of
-    share of all texts and the batches' output is bounded: a text has len runs, so at most 10 * mean(len) / share runs
-    stay per batch, and mean(len) / (0.9 * share) are found in the end, whatever the number of texts.
+    Each window of COUNTED texts drops runs it sees in under a tenth of share of its own texts (in none, where that is
+    less than one), so counts are low by at most a tenth of share of all texts. A text has len runs, so at most
+    10 * mean(len) / share runs stay per window of COUNTED texts or more, and mean(len) / (0.9 * share) are found in the
+    end, whatever the number of texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, _ = _sets(whole(b.column(0)), n)
-            value, seen = np.unique(h, return_counts=True)
-            keep = seen >= max(2, share * 0.1 * b.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(value[keep].view(np.int64), 0)), pa.array(np.append(seen[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), b.num_rows))],
-                ["h", "seen", "rows"],
-            )
-
-    counted = texts.mapInArrow(count, "h bigint, seen bigint, rows bigint").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("rows").alias("rows"))
-    total = F.sum("rows").over(_everything())
-    found = counted.select("h", "seen", total.alias("total")).where(F.col("seen") > F.col("total") * share * 0.9)
-    return np.array(sorted(r["h"] for r in found.select("h").collect()), dtype=np.int64).view(np.uint64)
-
+        held: list[pa.Array] = []
+        rows = 0
+
+        def counted() -> pa.RecordBatch:
+            values, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for col in held:
+                h, _ = _sets(col, n)
+                value, times = np.unique(h, return_counts=True)
+                values, back = np.unique(np.concatenate((values, value)), return_inverse=True)
+                seen = np.bincount(back, weights=np.concatenate((seen, times)), minlength=len(values)).astype(np.int64)
+            keep = seen >= share * 0.1 * rows
+            # a row with a null run has the number of texts
+            return pa.RecordBatch.from_arrays([pa.array([*values[keep].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(seen[keep], rows))], ["h", "seen"])
 
-def _everything():
-    from pyspark.sql import Window
+        for b in batches:
+            held.append(whole(b.column(0)))
+            rows += b.num_rows
+            if rows >= COUNTED:
+                yield counted()
+                held, rows = [], 0
+        if rows:
+            yield counted()
 
-    return Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = materialise(texts.mapInArrow(count, "h bigint, seen bigint").groupBy("h").agg(F.sum("seen").alias("seen")))
+    total = counted.where("h is null").agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    found = counted.where(F.col("h").isNotNull() & (F.col("seen") > total * share * 0.9)).select("h").toPandas()["h"]
+    return np.sort(found.to_numpy(dtype=np.int64)).view(np.uint64)
 
 
 def text_classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, rep): each non-null key with a non-null text and the least key of those with the same text."""
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.sha2(text, 256).alias("same")).where("id is not null and same is not null")
-    from pyspark.sql import Window
+    """(id, rep): each non-null key with a non-null text and the least key of those with the same text.
 
-    return rows.select("id", F.min("id").over(Window.partitionBy("same")).alias("rep")).distinct()
+    Equal texts are grouped before any row of them is gathered; the join back splits a hot text by adaptive execution.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.unhex(F.sha2(text, 256)).alias("same")).where("id is not null and same is not null")
+    return rows.join(rows.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep").distinct()
 
 
 def near_pairs(
@@ -184,76 +234,97 @@ def near_pairs(
     case. Null texts and keys and texts of fewer words take no part; repeated rows count once; other columns are
     ignored. A text without words has a class but no links.
 
-    Method (min-hash banding, then a Hamming threshold): each text is a ring of min-hash segments; two texts at the threshold differ in at most a
-    known number of them, up to sampling. A candidate needs a chain of `rows` consecutive equal segments from a fixed
-    start, not all of hot shingles (see Sketch for how many chains a text needs); a ring of bits over all shingles must
-    then be within the budget of differences; only what remains is checked exactly. Keys are joined by sort-merge, so a hot key is split by
-    adaptive execution; equal texts are one row before that. No pair is capped.
+    Method (pigeonring on min-hash segments): each text is a ring of segments, and two texts at the threshold differ in
+    at most a known number of them, up to sampling. A candidate needs a chain that begins with `rows` equal segments (not
+    all of hot shingles) and whose cumulative differences stay within budgets in proportion to its length; this and the
+    texts' sizes are tested where the keys meet, so pairs without a viable chain are never shuffled. What remains takes
+    the Hamming test over a whole ring of its own, and then the exact check.
+
+    Keys are joined by sort-merge, so a hot key is split by adaptive execution; equal texts are one row before that. No
+    pair is capped.
     """
-    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    classes = materialise(text_classes(df, key, text))
+    copies = materialise(classes.where("id <> rep").select("id"))
+    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null").join(copies, "id", "left_anti")
     hot = df.sparkSession.sparkContext.broadcast(hot_shingles(texts.select("text"), sketch.hot, words))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole_batch[i : i + SLICE] for whole_batch in batches for i in range(0, whole_batch.num_rows, SLICE)):
-            col = whole(b.column(1))
-            h, owner = _sets(col, words)
-            every, _ = _lengths(owner, len(col))
-            rare = ~np.isin(h, hot.value)
-            kept = np.bincount(owner[rare], minlength=len(col))
-            share = 1 - kept / np.maximum(every, 1)
-            who, own = _gated(h, owner, rare, sketch.bands(threshold, share), sketch.rows, 1)
-            heavy = (share > sketch.near * threshold) & (every > 0)
-            sel = heavy[owner]
-            full = sketch.full_bands(threshold)
-            who2, slots2 = _slots(h[sel], owner[sel], len(col), full * sketch.full_rows, 2)
-            who = np.concatenate((who, np.repeat(who2, full)))
-            order = np.argsort(who, kind="stable")
-            flat = np.concatenate((own, _chains(slots2, sketch.full_rows, 2 << 32).ravel()))[order]
-            _, ends = _lengths(who, len(col))
-            ends = ends.astype(np.int32)
-            # the ring over all shingles for the Hamming test: a bit of each min-hash, eight to a segment
-            who3, slots3 = _slots(h, owner, len(col), RING_BITS, 3)
-            rings = [None] * len(col)
-            packed = np.packbits((slots3 & 1).astype(np.uint8), axis=1)
-            for i, w in enumerate(who3):
-                rings[w] = packed[i].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(every.astype(np.int32)), pa.array(rings, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                ["id", "same", "size", "ring", "keys"],
-            )
-
-    signed = texts.withColumn("same", F.sha2("text", 256)).mapInArrow(sign, "id bigint, same string, size int, ring binary, keys array<bigint>")
-    reps = materialise(
-        signed.groupBy("same").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("ring").alias("ring"), F.first("keys").alias("keys")).where("size > 0").drop("same")
-    )
-    keyed = reps.select("id", F.explode("keys").alias("k"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = pairs.repartition("a").distinct()  # by a alone, as the next join needs them
-    side = reps.select("id", "size", "ring")
+    keyed = texts.mapInArrow(_sign(threshold, words, sketch, hot), "k bigint, id bigint, m bigint")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    candidates = materialise(x.join(y, F.expr(f"x.k = y.k and x.id < y.id and {chain_condition(threshold, sketch)}")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    # a text that no candidate needs is passed over before it is shuffled; those let through by chance find no pair
+    hashed = texts.select("id", F.xxhash64("id").alias("u"), "text")
+    rings = hashed.mapInArrow(_rings(words, _needed(candidates)), "id bigint, size int, ring binary").dropDuplicates(["id"])
     near = materialise(
-        pairs.join(side.toDF("a", "size_a", "ring_a"), "a")
-        .join(side.toDF("b", "size_b", "ring_b"), "b")
+        candidates.join(rings.toDF("a", "size_a", "ring_a"), "a").join(rings.toDF("b", "size_b", "ring_b"), "b")
         .where(F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold)
         .mapInArrow(_within(threshold, sketch.slack), "a bigint, b bigint")
     )
-    # a text that no candidate needs is passed over before it is shuffled; those let through by chance find no pair
-    needed = df.sparkSession.sparkContext.broadcast(_filter_bits(near.select(F.explode(F.array("a", "b")).alias("id"))))
-    sets = texts.select("id", F.xxhash64("id").alias("u"), "text").mapInArrow(_hash_sets(words, needed), "id bigint, h binary").dropDuplicates(["id"])
-    x, y = sets.alias("x"), sets.alias("y")
+    sets = hashed.mapInArrow(_hash_sets(words, _needed(near)), "id bigint, h binary").dropDuplicates(["id"])
     exact = (
-        near.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-        .select("a", "b", F.col("x.h").alias("h_a"), F.col("y.h").alias("h_b")).mapInArrow(_check(threshold), "a bigint, b bigint, likeness double")
+        near.join(sets.toDF("a", "h_a"), "a").join(sets.toDF("b", "h_b"), "b")
+        .select("a", "b", "h_a", "h_b").mapInArrow(_check(threshold), "a bigint, b bigint, likeness double")
     )
-    return exact, text_classes(df, key, text)
+    return exact, classes
+
+
+def chain_condition(threshold: float, sketch: Sketch) -> str:
+    """SQL: whether the chains of x.m and y.m stay within their budgets and the texts' sizes within their ratio."""
+    sizes = f"abs(shiftrightunsigned(x.m, 56) - shiftrightunsigned(y.m, 56)) <= {int(np.ceil(SIZE_STEPS * -np.log(threshold)))}"
+    return " and ".join([sizes, *(f"bit_count((x.m ^ y.m) & {(1 << n) - 1}L) <= {most}" for n, most in sketch.budgets(threshold))])
+
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, without ids (column 0) that this task has had: of repeated rows one stays per task."""
+    had: set[int] = set()
+    for whole_batch in batches:
+        for i in range(0, whole_batch.num_rows, SLICE):
+            b = whole_batch[i : i + SLICE]
+            new = [i not in had and not had.add(i) for i in b.column(0).to_pylist()]
+            yield b if all(new) else b.filter(pa.array(new, pa.bool_()))
+
+
+def _sign(threshold: float, words: int, sketch: Sketch, hot):
+    """(id, text) to rows (k, id, m): a key, and the size code with the chain behind it."""
+    ring, reach = sketch.ring(threshold), sketch.reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _fresh(batches):
+            col, n = whole(b.column(1)), b.num_rows
+            h, owner = _sets(col, words)
+            every, _ = _lengths(owner, n)
+            rare = ~np.isin(h, hot.value)
+            share = 1 - np.bincount(owner[rare], minlength=n) / np.maximum(every, 1)
+            who, band, keys, bits = _gated(h, owner, rare, sketch.bands(threshold, share), sketch.rows, 1, ring)
+            heavy = (share > sketch.near * threshold) & (every > 0)
+            sel, full = heavy[owner], sketch.full_bands(threshold)
+            who2, slots2 = _slots(h[sel], owner[sel], n, full * sketch.full_rows, 2)
+            who = np.concatenate((who, np.repeat(who2, full)))
+            band = np.concatenate((band, np.tile(np.arange(full), len(who2))))
+            keys = np.concatenate((keys, _chains(slots2, sketch.full_rows, 2 << 32).ravel()))
+            code = np.log(np.maximum(every, 1)) * SIZE_STEPS
+            m = _words_of(bits, sketch.rows, reach)[who, band % ring] | np.minimum(code, 255).astype(np.uint64)[who] << np.uint64(56)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0).take(pa.array(who)), pa.array(m.view(np.int64))], ["k", "id", "m"])
+
+    return run
+
+
+def _rings(words: int, needed):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (_wanted(b, needed.value) for b in _fresh(batches)):
+            h, owner = _sets(whole(b.column(2)), words)
+            every, _ = _lengths(owner, b.num_rows)
+            who, slots = _slots(h, owner, b.num_rows, RING_BITS, 3)
+            packed = np.packbits((slots & 1).astype(np.uint8), axis=1)
+            rings = pa.array([r.tobytes() for r in packed], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), pa.array(every[who].astype(np.int32)), rings], ["id", "size", "ring"])
+
+    return run
 
 
 def _within(threshold: float, slack: float):
-    """Hamming test of candidate pairs on their rings.
+    """The whole Hamming test of candidate pairs, on rings apart from those that chains are taken from.
 
-    A bit differs with probability (1 - threshold) / 2 at the threshold, so the rings' Hamming distance is at most
-    t = bits * (1 - threshold) / 2 + slack deviations; a pair further apart is pruned before its sets are fetched. No
-    shorter chain is tested: a pair within t always has a start from which every chain keeps its budget, so once the
-    whole distance is at hand, chains prune nothing more.
+    A bit differs with probability (1 - threshold) / 2 at the threshold, so the rings' distance is at most
+    bits * (1 - threshold) / 2 + slack deviations; a pair further apart is pruned before its sets are fetched.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,24 +358,43 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _needed(pairs: DataFrame):
+    return pairs.sparkSession.sparkContext.broadcast(_filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+
+
+def _wanted(b: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows of (id, hash of id, ...) whose id the filter lets through."""
+    u = np.asarray(b.column(1)).view(np.uint64)
+    keep = np.ones(len(u), bool)
+    for n in _PLACES:
+        at = (u >> np.uint64(n)) & np.uint64(FILTER_BITS - 1)
+        keep &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return b.filter(pa.array(keep))
+
+
+#: Bytes of a run's hash in the exact check: two texts of 1,000 runs have one wrong match with a probability of 1e-6.
+SET_BYTES = 5
+
+
 def _hash_sets(words: int, needed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = needed.value
-        for b in batches:
-            u = np.asarray(b.column(1)).view(np.uint64)
-            keep = np.ones(len(u), bool)
-            for n in _PLACES:
-                at = (u >> np.uint64(n)) & np.uint64(FILTER_BITS - 1)
-                keep &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            b = b.filter(pa.array(keep))
+        for b in (_wanted(b, needed.value) for b in _fresh(batches)):
             h, owner = _sets(whole(b.column(2)), words)
             _, at = _lengths(owner, b.num_rows)
-            sets = [h[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
+            short = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES])
+            sets = [short[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "h"])
 
     return run
 
 
+def _set(raw: pa.Scalar) -> np.ndarray:
+    short = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, SET_BYTES)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, :SET_BYTES] = short
+    return out.view("<u8").ravel()
+
+
 def _check(threshold: float):
     """The exact likeness of each pair."""
 
@@ -313,7 +403,7 @@ def _check(threshold: float):
             names = b.schema.names
             out = []
             for p, q in zip(b.column(names.index("h_a")), b.column(names.index("h_b"))):
-                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                x, y = _set(p), _set(q)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(both / (len(x) + len(y) - both))
             like = pa.array(out, pa.float64())
@@ -330,9 +420,7 @@ def expand_pairs(links: DataFrame, classes: DataFrame, sizes_up_to: int = 64) ->
     representative carries the class's links to other texts: membership (id, rep) holds the rest, so nothing is lost
     and no pair count is quadratic in the number of copies. Smaller classes are expanded in full.
     """
-    from pyspark.sql import Window
-
-    own = classes.withColumn("n", F.count("*").over(Window.partitionBy("rep")))
+    own = classes.join(classes.groupBy("rep").agg(F.count("*").alias("n")), "rep")
     member = own.where((F.col("n") <= sizes_up_to) | (F.col("id") == F.col("rep")))
     left, right = member.select(F.col("rep").alias("a"), F.col("id").alias("ia")), member.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     across = links.select("a", "b").join(left, "a").join(right, "b").select("ia", "ib")
@@ -374,18 +462,20 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _with_least(edges: DataFrame, vertex: str, other: str) -> DataFrame:
+    """Adds least: the least neighbour of each edge's vertex. Grouped first and joined back, so that a hub's edges are
+    split by adaptive execution and never sit in one window."""
+    return edges.join(edges.groupBy(vertex).agg(F.min(other).alias("least")), vertex)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its larger neighbours to the least of it and its neighbours; rows are (least, vertex)."""
-    from pyspark.sql import Window
-
-    both = _neighbours(edges).withColumn("low", F.least("a", F.min("b").over(Window.partitionBy("a"))))
-    return both.where("b > a").select(F.col("low").alias("a"), "b").distinct()
+    both = _with_least(_neighbours(edges), "a", "b")
+    return both.where("b > a").select(F.least("a", "least").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex links its smaller neighbours and itself to the least of them."""
-    from pyspark.sql import Window
-
-    down = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).withColumn("low", F.min("u").over(Window.partitionBy("v")))
-    kept = down.select(F.col("low").alias("a"), F.col("u").alias("b")).where("a < b")
-    return kept.unionByName(down.select(F.col("low").alias("a"), F.col("v").alias("b"))).distinct()
+    down = _with_least(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")), "v", "u")
+    kept = down.select(F.col("least").alias("a"), F.col("u").alias("b")).where("a < b")
+    return kept.unionByName(down.select(F.col("least").alias("a"), F.col("v").alias("b"))).distinct()

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,11 +107,70 @@ def test_chains_of_mixed_pairs(hot, rare, other, shared):
     owner = np.repeat(np.arange(2 * n), np.tile(size, n))
     is_rare = np.concatenate([np.arange(size[i % 2]) >= hot for i in range(2 * n)])
     bands = nd.Sketch().bands(0.5, np.array([hot / size[0], hot / size[1]] * n))
-    who, keys = nd._gated(np.concatenate(h), owner, is_rare, bands, nd.Sketch().rows, 1)
+    who, _, keys, _ = nd._gated(np.concatenate(h), owner, is_rare, bands, nd.Sketch().rows, 1)
     of = [set(keys[who == i].tolist()) for i in range(2 * n)]
     assert all(of[2 * i] & of[2 * i + 1] for i in range(n))
 
 
+def half_hot(seed, pairs, hot, rare, shared):
+    """Pairs of texts of hot + rare runs each, the hot ones (of a block that a tenth of all texts hold) and shared of the rare
+    ones in both: likeness (hot + shared) / (hot + 2 * rare - shared)."""
+    r = random.Random(seed)
+    new = lambda n: " ".join(f"u{r.randrange(10**9)}" for _ in range(n))
+    blocks = [new(hot + 2) for _ in range(10)]
+    rows = []
+    for i in range(pairs):
+        both = new(shared)
+        rows += [(2 * i + j, f"{blocks[i % 10]} {both} {new(rare - shared)}", "x", 1) for j in (0, 1)]
+    return rows
+
+
+def test_pairs_of_texts_nearly_half_hot(frame):
+    """600 pairs just over the threshold, 47 of 100 runs hot: all the likeness that chains may use is in the rare half."""
+    rows = half_hot(5, 600, 47, 53, 23)
+    want = {(2 * i, 2 * i + 1) for i in range(600) if (g := [grams(rows[2 * i + j][1]) for j in (0, 1)]) and len(g[0] & g[1]) >= 0.5 * len(g[0] | g[1])}
+    links, _ = nd.near_pairs(frame(rows, SCHEMA))
+    got = {tuple(r)[:2] for r in links.collect()}
+    assert len(want) == 600 and len(got & want) >= 0.99 * len(want) and {p for p in got if p[1] != p[0] + 1} == set()
+
+
+def chain_of(texts, sketch, threshold=0.5):
+    """The chain words and sizes of texts by band, and the whole ring."""
+    h, owner = nd._sets(pa.array(texts), 3)
+    ring = sketch.ring(threshold)
+    _, _, _, bits = nd._gated(h, owner, np.ones(len(h), bool), np.zeros(len(texts), np.int64), sketch.rows, 1, ring)
+    return nd._words_of(bits, sketch.rows, sketch.reach), bits
+
+
+def test_chains_prune_what_the_whole_distance_lets_through():
+    """Of pairs within the whole ring's budget, a chain's own budgets prune more, and they keep pairs at the threshold."""
+    r, sketch = random.Random(8), nd.Sketch()
+    far, near = [], []
+    for out, shared in ((far, 45), (near, 68)):  # of 100 words each: likeness about 0.28 and 0.5
+        for _ in range(300):
+            both = [f"u{r.randrange(10**9)}" for _ in range(shared)]
+            out += [" ".join(both + [f"u{r.randrange(10**9)}" for _ in range(100 - shared)]) for _ in (0, 1)]
+    kept = {}
+    for name, texts in (("far", far), ("near", near)):
+        words, bits = chain_of(texts, sketch)
+        differ = words[0::2] ^ words[1::2]
+        viable = np.all([np.bitwise_count(differ & np.uint64((1 << n) - 1)) <= most for n, most in sketch.budgets(0.5)], axis=0)
+        n = bits.shape[1]
+        total = (bits[0::2] != bits[1::2]).sum(axis=1) <= n * 0.25 + 4.5 * (n * 0.1875) ** 0.5
+        kept[name] = viable[total].mean(), total.mean()
+    assert kept["far"][1] > 0.5 and kept["far"][0] < 0.7
+    assert kept["near"][1] > 0.99 and kept["near"][0] > sketch.viable(0.5) - 0.03
+
+
+def test_pigeonring_start():
+    """The ring principle the chains rest on: a ring within its whole budget has a start from which every chain is."""
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        ring = r.integers(0, 2, 60)
+        share = ring.sum() / 60
+        assert any(all(np.cumsum(np.roll(ring, -i)) <= share * np.arange(1, 61) + 1e-9) for i in range(60))
+
+
 def test_large_classes_stay_linear(frame):
     text = "the same nine words stand in each of these"
     rows = [(i, text, "x", 1) for i in range(100)] + [(200, text + " here", "x", 1)]
