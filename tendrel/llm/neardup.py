@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendrel.llm.common import distinct_pairs, mix, shingle_hashes, string_bytes, whole, word_hashes
+from tendrel.llm.common import mix, shingle_hashes, string_bytes, whole, word_hashes
 from tendrel.session import materialise
 
 
@@ -90,13 +90,22 @@ def _fold(col: pa.Array) -> pa.Array:
     return col
 
 
+#: Bits of a run's hash; the owner within a slice takes the other 11.
+_HASH = np.uint64(53)
+
+
 def _sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed runs of n words of each text: (hashes, owner), sorted by owner, then hash."""
-    parts = []
+    """Distinct hashed runs of n words of each text: (hashes, owner), sorted by owner, then hash.
+
+    Owner and hash share one 64-bit number in a slice, so that sorting it sorts by both."""
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i in range(0, len(col), SLICE):
-        h, owner = distinct_pairs(*shingle_hashes(*word_hashes(*string_bytes(_fold(col[i : i + SLICE]))), n))
-        parts.append((h, owner + i))
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, owner = shingle_hashes(*word_hashes(*string_bytes(_fold(col[i : i + SLICE]))), n)
+        both = np.sort(owner.astype(np.uint64) << _HASH | h >> (np.uint64(64) - _HASH))
+        both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+        hashes.append(both & ((np.uint64(1) << _HASH) - np.uint64(1)))
+        owners.append((both >> _HASH).astype(np.int64) + i)
+    return np.concatenate(hashes), np.concatenate(owners)
 
 
 def _lengths(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +113,14 @@ def _lengths(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.concatenate(([0], np.cumsum(counts)))
 
 
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """The numbers out of order: a shingle whose numbers rise by small steps would else be the least many times over."""
+    y = x >> np.uint32(15)
+    y ^= x
+    y *= np.uint32(0x2C1B3C6D)
+    return y
+
+
 def _slots(h: np.ndarray, owner: np.ndarray, n: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Min-hash segments of each value that has any shingle: (their owners, segments as owners x slots)."""
     if not len(h):
@@ -115,7 +132,7 @@ def _slots(h: np.ndarray, owner: np.ndarray, n: int, slots: int, seed: int) -> t
     x = low.copy()
     for j in range(slots):
         x += high
-        out[j] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), start)
+        out[j] = np.minimum.reduceat(_scattered(x), start)
     return owner[start], np.ascontiguousarray(out.T)
 
 
@@ -137,8 +154,7 @@ def _gated(h: np.ndarray, owner: np.ndarray, rare: np.ndarray, bands: np.ndarray
         key, any_rare = np.full(len(start), mix(np.array([(seed << 32) + band], np.uint64))[0]), np.zeros(len(start), bool)
         for r in range(rows):
             x += step
-            y = x >> np.uint32(15)
-            y ^= x
+            y = _scattered(x)
             # the lowest bit says whether the least shingle is a rare one
             y &= np.uint32(0xFFFFFFFE)
             y |= mark
