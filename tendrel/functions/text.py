@@ -1,4 +1,5 @@
-"""Text expressions as Columns: lines, references, tokens, limits and the like. All run inside Spark's code generation."""
+"""Text expressions as Columns: lines, references, tokens, limits and the like. All run in the JVM; those over arrays are
+interpreted by Spark, the others are part of generated code."""
 
 from __future__ import annotations
 
@@ -87,8 +88,7 @@ def tokens(text: Column) -> Column:
     two characters or more, no stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9+#.-]*"), 0)
     bare = F.transform(found, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.transform(F.filter(bare, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(bare, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS)), stem)
 
 
 def word_limit(text: Column) -> Column:
@@ -145,17 +145,18 @@ def key_sentences(text: Column, wanted: Column, most: int = 4, least: int = 2) -
     """The sentences that share most words with wanted, best first, ties in order."""
     scored = F.transform(
         sentences(text),
-        lambda s, i: F.struct((-F.size(F.array_intersect(F.regexp_extract_all(F.lower(s), F.lit(r"\b\w+\b"), 0), wanted))).alias("minus"), i.alias("at"), F.trim(s).alias("s")),
+        lambda s, i: F.struct((-F.size(F.array_intersect(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), 0), wanted))).alias("minus"), i.alias("at"), F.trim(s).alias("s")),
     )
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["minus"] <= -least)), 1, most), lambda x: x["s"])
 
 
 def readable_share(text: Column) -> Column:
-    """Share of letters, blanks and .,;:()/- in the first 4000 characters; digits are not readable by this measure."""
+    """Share of letters, blanks (no-break ones too) and .,;:()/- in the first 4000 characters; neither digits nor marks
+    that combine with a letter are readable by this measure."""
     head = F.substring(text, 1, 4000)
-    return F.length(F.regexp_replace(head, r"[^\p{L}\p{M}\s.,;:()/-]", "")) / F.length(head)
+    return F.length(F.regexp_replace(head, r"[^\p{L}" + BLANKS[1:-2] + r".,;:()/-]", "")) / F.length(head)
 
 
 def looks_garbled(text: Column) -> Column:
     """Too short to judge (under 40 characters) or under three quarters readable."""
-    return (F.length(F.trim(text)) < 40) | (readable_share(text) < 0.75)
+    return (F.length(F.substring(text, 1, 4000)) < 40) | (readable_share(text) < 0.75)

@@ -32,7 +32,7 @@ def extract(lines: DataFrame, profile: rules.Profile = rules.TENDER, key: str =
     number = F.row_number().over(Window.partitionBy(key).orderBy("line_no"))
     # partitioning by the document alone serves both windows with one exchange
     kept = found.repartition(key).withColumn("first", first).where("first = 1").withColumn("n", number)
-    columns: list[Column | str] = [key, F.format_string(profile.id_format, "n").alias("id"), "text", "ref", "kind", F.col("line").rlike(rules.BINDING).alias("binding"), "line_no"]
+    columns: list[Column | str] = [key, F.format_string(profile.id_format, "n").alias("id"), "text", "ref", "kind", F.col("text").rlike(rules.BINDING).alias("binding"), "line_no"]
     if profile.name == rules.GRANT.name:
         columns += [T.word_limit(line).alias("word_limit"), T.page_limit(line).alias("page_limit"), T.score_weight(line).alias("score_weight")]
     if with_tokens:

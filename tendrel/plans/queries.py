@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tendrel.functions import rules
 from tendrel.functions import text as T
 from tendrel.operators import chunking, drafting, extract, index, verdict
-from tendrel.plans import pipeline
+from tendrel.plans import fixtures, pipeline
 from tendrel.session import materialise, spread, table
 
 L = "bigint"
@@ -216,10 +216,20 @@ def report_slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tenders").where("title is not null").select("tender_id", T.slug(F.col("title")).alias("slug"), T.trimmed_cell(F.col("title"), 40).alias("cell"))
 
 
+def reader_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every reader on made files with known texts and failures; the test tables hold no files."""
+    return fixtures.read_all(spark)
+
+
+def rules_at_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The rules on made rows where easy readings of them go wrong."""
+    return fixtures.rules_at_edges(spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         normalise_lines, clause_ref_split, section_ref_split, classify_tender, classify_grant, extract_requirements, extract_questions, extract_summary, grant_summary, dedupe_first, tokenise,
         heading_segments, postings_tf, term_stats_idf, corpus_stats, top3_evidence, coverage, tally, coverage_matrix, documents_coverage, grant_source_tags, eval_metrics, draftable, draft_batches,
-        prompt_preview, draft_parse_left_join, drafts_on_gaps, question_type, topic_phrase, key_sentences, local_drafts, garble_gate, citations, skipped_reasons, report_slugs,
+        prompt_preview, draft_parse_left_join, drafts_on_gaps, question_type, topic_phrase, key_sentences, local_drafts, garble_gate, citations, skipped_reasons, report_slugs, reader_files, rules_at_edges,
     )
     return {f.__name__: f for f in all_}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tendrel.functions import rules
 from tendrel.functions import text as T
 from tendrel.operators.verdict import ANSWERED_AT, EVIDENCED_AT, WEAK_AT
+from tendrel.plans import fixtures
 
 
 def _q(text: str) -> str:
@@ -71,7 +72,7 @@ def _extracted(profile: rules.Profile) -> str:
     letter = profile.id_format[0]
     return f"""{_classified(profile)},
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) ORDER BY line_no) AS first FROM k WHERE kind IS NOT NULL),
-x AS (SELECT doc_id, format('{letter}-{{:03d}}', row_number() OVER (PARTITION BY doc_id ORDER BY line_no)) AS id, text, ref, kind, line, {_has('line', rules.BINDING)} AS binding, line_no FROM f WHERE first = 1)"""
+x AS (SELECT doc_id, format('{letter}-{{:03d}}', row_number() OVER (PARTITION BY doc_id ORDER BY line_no)) AS id, text, ref, kind, line, {_has('text', rules.BINDING)} AS binding, line_no FROM f WHERE first = 1)"""
 
 
 _CHUNKS = f"""ch AS (SELECT DISTINCT ON (chunk_ix) chunk_ix, doc, heading, text FROM chunks WHERE chunk_ix IS NOT NULL AND text IS NOT NULL),
@@ -115,6 +116,11 @@ def _question_type() -> str:
     return f"CASE WHEN kind = 'budget' THEN 'budget' {whens} ELSE 'default' END"
 
 
+def _rows(columns: str, rows: list[tuple]) -> str:
+    """Literal rows."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else _q(v) for v in r) + ')' for r in rows)}) AS t({columns})"
+
+
 def oracle_sql() -> dict[str, str]:
     t, g = rules.TENDER, rules.GRANT
     limit = lambda p: f"TRY_CAST(nullif(regexp_extract(line, {_q(p)}, 1), '') AS BIGINT)"
@@ -160,8 +166,13 @@ FROM qs q LEFT JOIN n ON n.tender_id = q.tender_id AND n.requirement_id = q.id A
 SELECT v.verdict, coalesce(d.evidence_sufficient, false) AS sufficient, count(*) AS drafts FROM d JOIN v ON v.tender_id = d.tender_id AND v.id = d.requirement_id GROUP BY 1, 2""",
         "question_type": f"WITH {_extracted(g)} SELECT doc_id, id, {_question_type()} AS question_type, {_has('text', rules.NEEDS_SPECIFICS)} AS needs_specifics FROM x",
         "topic_phrase": f"WITH {_extracted(g)} SELECT doc_id, id, coalesce(array_to_string(list_filter(string_split(trim(regexp_replace(lower({bare}), {_q(T.BLANKS)}, ' ', 'g')), ' '), lambda w: NOT list_contains([{topic_stop}], w) AND length(w) > 2)[1:5], ' '), '') AS topic FROM x",
-        "garble_gate": "SELECT doc_id, length(trim(text)) < 40 OR length(regexp_replace(left(text, 4000), '[^\\p{L}\\p{M}\\s.,;:()/-]', '', 'g')) / nullif(length(left(text, 4000)), 0) < 0.75 AS garbled, round(length(regexp_replace(left(text, 4000), '[^\\p{L}\\p{M}\\s.,;:()/-]', '', 'g')) / nullif(length(left(text, 4000)), 0), 6) AS readable FROM documents WHERE text IS NOT NULL",
+        # letters, the blanks of Unicode one by one, and eight signs
+        "garble_gate": r"""WITH h AS (SELECT doc_id, left(text, 4000) AS s FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[^\p{L}\t\n\v\f\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,;:()/-]', '', 'g')) AS k FROM h)
+SELECT doc_id, n < 40 OR k / nullif(n, 0) < 0.75 AS garbled, round(k / nullif(n, 0), 6) AS readable FROM c""",
         "citations": f"WITH {_CHUNKS} SELECT chunk_ix, {_CITE} AS citation FROM ct c",
+        "reader_files": _rows("name, text, error_kind", [(n, *r) for n, r in fixtures.FILES_READ.items()]),
+        "rules_at_edges": _rows("rule, input, result", fixtures.edges_expected()),
         "skipped_reasons": "SELECT lower(regexp_extract(name, '(\\.[^.]*)$', 1)) AS suffix, coalesce(reason, '(none)') AS reason, count(*) AS files FROM skipped WHERE name IS NOT NULL GROUP BY 1, 2",
         "report_slugs": """SELECT tender_id, CASE WHEN s = '' THEN 'report' ELSE s END AS slug, CASE WHEN length(e) > 40 THEN rtrim(left(e, 39)) || '…' ELSE e END AS cell FROM (
   SELECT tender_id, lower(regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g')) AS s, replace(title, '|', '\\|') AS e FROM tenders WHERE title IS NOT NULL)""",

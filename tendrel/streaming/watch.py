@@ -37,9 +37,13 @@ class Library:
     def current(self) -> DataFrame:
         mark = readers.fingerprint(self.folder)
         if mark != self.mark:
-            chunks, skipped = self._load()
+            try:
+                chunks, skipped = self._load()
+                usable = not chunks.isEmpty()
+            except Exception:  # whatever a half-copied library does, the last good one stays and is tried again
+                return self.chunks
             self.mark = mark
-            if not chunks.isEmpty():
+            if usable:
                 self.chunks.unpersist()
                 self.chunks, self.skipped = chunks, skipped
         return self.chunks

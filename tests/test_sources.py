@@ -169,3 +169,54 @@ def test_watch_needs_a_library(spark, tmp_path):
     (tmp_path / "bare").mkdir()
     with pytest.raises(w.EmptyLibrary):
         w.watch(spark, tmp_path, tmp_path / "bare", tmp_path / "out", tmp_path / "ck")
+
+
+def test_made_files():
+    from tendrel.plans import fixtures as f
+
+    for name, data in f.files().items():
+        try:
+            got = readers.read_bytes(name, data), None
+        except readers.Unreadable as e:
+            assert name in str(e)
+            got = None, e.kind
+        assert got == f.FILES_READ[name], name
+
+
+@pytest.mark.parametrize("name", ["a.docx", "a.xlsx", "flate.pdf", "plain.pdf"])
+def test_damaged_files_fail_in_one_way(name):
+    """Bytes changed, cut out and doubled anywhere: text or Unreadable, nothing else."""
+    import random
+
+    from tendrel.plans import fixtures as f
+
+    r, good = random.Random(name), f.files()[name]
+    for _ in range(2500):
+        data = bytearray(good)
+        for _ in range(r.randrange(1, 6)):
+            at = r.randrange(len(data))
+            kind = r.randrange(3)
+            if kind == 0:
+                data[at] = r.randrange(256)
+            elif kind == 1:
+                del data[at : at + r.randrange(1, 30)]
+            else:
+                data[at:at] = data[at : at + r.randrange(1, 30)]
+        try:
+            assert isinstance(readers.read_bytes(name, bytes(data)), str)
+        except readers.Unreadable as e:
+            assert e.kind and name in str(e)
+
+
+def test_library_that_fails_to_load_keeps_the_last_good_one(spark, folder, monkeypatch):
+    library = w.Library(spark, folder)
+    before = library.current()
+    (folder / "good.md").write_text("# New\n" + PROSE)
+
+    def fails(*_):
+        raise RuntimeError("half copied")
+
+    monkeypatch.setattr(readers, "load_corpus", fails)
+    assert library.current() is before
+    monkeypatch.undo()
+    assert {r["heading"] for r in library.current().collect()} == {"New", ""}
