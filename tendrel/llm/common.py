@@ -127,3 +127,35 @@ def list_array(values: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
     offsets = np.zeros(n + 1, dtype=np.int32)
     np.cumsum(np.bincount(owner, minlength=n), out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+# -- a filter of hashes -------------------------------------------------------------------------------------------------
+
+#: Bits that a Bloom filter of hashes starts with and may grow to (32 MB), three positions for each hash. Beyond some fifty
+#: million hashes it lets more through, which costs shuffle and nothing else.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+_PLACES = (0, 17, 34)
+
+
+def sieve(hashes: DataFrame):
+    """A broadcast Bloom filter of the column u (bigint hashes), or-ed together by the executors: 16 bits for each row of
+    hashes within the bounds, so at most MOST_BITS / 64 rows reach the driver."""
+    spark = hashes.sparkSession
+    bits = LEAST_BITS
+    rows = hashes.count()
+    while bits < min(MOST_BITS, 16 * rows):
+        bits *= 2
+    at = F.explode(F.array(*(F.shiftrightunsigned("u", n).bitwiseAND(F.lit(bits - 1)) for n in _PLACES))).alias("at")
+    words = hashes.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return spark.sparkContext.broadcast(out)
+
+
+def passes(words: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Which of the hashes the filter lets through: all it was made of, and few others."""
+    keep = np.ones(len(u), bool)
+    for n in _PLACES:
+        at = (u >> np.uint64(n)) & np.uint64(len(words) * 64 - 1)
+        keep &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return keep

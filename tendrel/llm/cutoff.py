@@ -11,19 +11,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendrel.llm.common import _powers, _BASE, _INVERSE, distinct_pairs, mix, shingle_hashes, string_bytes, whole, word_hashes
+from tendrel.llm.common import _powers, _BASE, _INVERSE, distinct_pairs, mix, passes, shingle_hashes, sieve, string_bytes, whole, word_hashes
 from tendrel.llm.language import FUNCTION_WORDS
 from tendrel.llm.neardup import _chains, _fold, _slots
 from tendrel.session import materialise
 
-#: Near-copies: five words and a likeness of 0.8, found with BANDS chains of ROWS segments (a pair at 0.8 is missed with
-#: probability (1 - 0.8 ** ROWS) ** BANDS, about 3e-5).
+#: Near-copies: five words, and 0.8 of the shorter text's runs held by the other, found with BANDS chains of ROWS segments.
+#: The beginnings of texts are sketched at lengths that grow by GROWTH from SHORTEST runs on, so a copy that was cut anywhere
+#: has a beginning of its original within a factor of the root of GROWTH: alike at 0.816 or more if nothing else was changed,
+#: and missed with probability (1 - 0.816 ** ROWS) ** BANDS, about 1e-5; at 0.65 it is 2 in a hundred.
 WORDS, LIKENESS, BANDS, ROWS = 5, 0.8, 20, 4
+SHORTEST, GROWTH = 16, 1.5
 
 #: A closing with a smaller share of ends among its occurrences is not where texts end.
 TERMINAL_SHARE = 0.12
 #: The same where the last line is a list item or row, or stands by itself: these need no full stop.
 ITEM_SHARE, LONE_SHARE = 0.008, 0.01
+#: The same for a sentence with a single blank behind its last word, where another word may have been cut away.
+BLANK_SHARE = 0.75
 
 # -- how a text ends -------------------------------------------------------------------------------------------------
 
@@ -59,8 +64,15 @@ def ending(text: str | None) -> tuple[str, int]:
         return CUT, len(t)
     if _CLOSED.search(last):
         return CLOSED, len(t)
-    # a single blank behind a word is where the next word was cut away; line breaks and padding say nothing
-    return (CUT if text[len(t) :] == " " else OPEN), len(t)
+    return OPEN, len(t)
+
+
+#: Closed by a bracket, a quotation mark or a stop behind a number or a short word: a copy may still show that more follows.
+_DOUBTFUL = re.compile(r"(?:[^.!?…\s][)\]}»”\"’']+|(?:\b\w{1,3}|\d)\.)$")
+
+
+def doubtful(text: str) -> bool:
+    return bool(_DOUBTFUL.search(text.rstrip(_SPACE)[-20:]))
 
 
 _ITEM = re.compile(r"^\s*(?:[-*•–+]|\d{1,3}[.)]\s(?=\S{1,30}(?:\s\S+){0,7}$)|[a-z][.)])\s+\S")
@@ -157,9 +169,9 @@ def _closing_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         # an open end in a sentence or list may be a cut: its last word is no occurrence, or copies of a cut text would
         # vouch for each other; other last words are occurrences and ends
         bare, tails = _tails(pc.fill_null(col, ""))
-        doubtful = np.array([(e := ending(t)[0]) == CUT or e == OPEN and _form(bare, i, t) in (SENTENCE, ITEM) for i, t in enumerate(tails.to_pylist())], bool)
+        may_be_cut = np.array([(e := ending(t)[0]) == CUT or e == OPEN and _form(bare, i, t) in (SENTENCE, ITEM) for i, t in enumerate(tails.to_pylist())], bool)
         last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
-        keep = ~(last & doubtful[owner])
+        keep = ~(last & may_be_cut[owner])
         triple, pair, word, closes = triple[keep], pair[keep], word[keep], closes[keep]
         key = np.concatenate((triple, pair, word))
         value, back, total = np.unique(key, return_inverse=True, return_counts=True)
@@ -187,38 +199,90 @@ def _form(bare: pa.Array, i: int, tail: str) -> str:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, source, same, text) -> (id, source, same, kind, line, length, triple, pair, word, keys)."""
+    """(id, source, same, text) -> (id, source, same, kind, line, blank, length, triple, pair, word, keys); keys are those
+    of texts that a copy can decide."""
     for b in batches:
         col = whole(b.column(3))
         # how a text ends shows in its last characters; the rest of it goes into the sketch and the statistics
         bare, tails = _tails(col)
-        kinds, lengths, forms = [], [], []
+        kinds, lengths, forms, blanks, sought = [], [], [], [], []
         for i, (t, n) in enumerate(zip(tails.to_pylist(), pc.utf8_length(bare).to_pylist())):
             k, end = ending(t)
             kinds.append(k)
             lengths.append(max(0, n - TAIL) + end)
             forms.append(_form(bare, i, t) if k == OPEN else None)
+            blanks.append(k == OPEN and t.endswith(" "))
+            sought.append(k == OPEN or k == CLOSED and doubtful(t))
         owner, triple, pair, word, _ = closings(*string_bytes(tails))
         last = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, int)
         ends_in = np.zeros((3, len(col)), np.uint64)
         ends_in[:, owner[last]] = triple[last], pair[last], word[last]
-        folded, fat = string_bytes(_fold(col))
-        h, own = shingle_hashes(*word_hashes(folded, fat), WORDS)  # repeats don't change a minimum
-        who, slots = _slots(h, own, len(col), BANDS * ROWS, 9)
+        few = np.flatnonzero(np.array(sought, bool)) if sought else np.zeros(0, np.int64)
+        h, own = _runs(col.take(pa.array(few)))
+        who, slots = _slots(h, own, len(few), BANDS * ROWS, 9)
         chain = _chains(slots, ROWS, 9 << 32)
         counts = np.zeros(len(col), np.int64)
-        counts[who] = BANDS
+        counts[few[who]] = BANDS
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                b.column(0), b.column(1), b.column(2), pa.array(kinds), pa.array(forms, pa.string()), pa.array(lengths, pa.int32()),
+                b.column(0), b.column(1), b.column(2), pa.array(kinds, pa.string()), pa.array(forms, pa.string()), pa.array(blanks, pa.bool_()), pa.array(lengths, pa.int32()),
                 *(pa.array(x.view(np.int64)) for x in ends_in),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(chain.ravel().view(np.int64))),
             ],
-            ["id", "source", "same", "kind", "line", "length", "triple", "pair", "word", "keys"],
+            ["id", "source", "same", "kind", "line", "blank", "length", "triple", "pair", "word", "keys"],
         )
 
 
+def _runs(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word runs of each text in order, repeats kept, and the text each is in."""
+    return shingle_hashes(*word_hashes(*string_bytes(_fold(col))), WORDS)
+
+
+def beginnings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of the chains of each text's beginnings, the whole text among them."""
+    h, own = _runs(col)
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(h)) - np.searchsorted(own, own)
+    sizes = [SHORTEST]
+    while sizes[-1] <= at.max():
+        sizes.append(int(sizes[-1] * GROWTH))
+    stretch = np.searchsorted(sizes, at, side="right")
+    # segments of each stretch by themselves, then the least of all stretches up to it
+    who, slots = _slots(h, own * len(sizes) + stretch, len(col) * len(sizes), BANDS * ROWS, 9)
+    text, place = who // len(sizes), who % len(sizes)
+    for n in range(1, len(sizes)):
+        here = np.flatnonzero(place == n)
+        slots[here] = np.minimum(slots[here], slots[here - 1])
+    keys = _chains(slots, ROWS, 9 << 32)
+    return np.repeat(text, BANDS), keys.ravel()
+
+
+def _sought_beginnings(sought):
+    """(same, text) -> (same, k) of the chains of beginnings that an undecided text has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b[i : i + 1000]
+                text, key = beginnings(whole(part.column(1)))
+                ok = passes(sought.value, key)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[ok])), pa.array(key[ok].view(np.int64))], ["same", "k"])
+
+    return run
+
+
+def _only(needed):
+    """(same, text, hash of same) -> (same, text) of the texts that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(needed.value, np.asarray(b.column(2)).view(np.uint64)))).select(["same", "text"])
+
+    return run
+
+
 # -- alignment -----------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -256,47 +320,48 @@ def continues(text: str, other: str) -> bool | None:
     return None
 
 
-def _jaccard(a: str, b: str) -> float:
-    h, own = distinct_pairs(*shingle_hashes(*word_hashes(*string_bytes(_fold(pa.array([a, b], pa.string())))), WORDS))
+def held(text: str, other: str) -> float:
+    """Share of the shorter text's distinct runs that the other has."""
+    h, own = distinct_pairs(*_runs(pa.array([text, other], pa.string())))
     x, y = h[own == 0], h[own == 1]
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    return len(np.intersect1d(x, y, assume_unique=True)) / max(1, min(len(x), len(y)))
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified near-copies: does the partner go on where the open text ends?"""
+    """(same, text, other) -> (same, goes_on) of verified near-copies: does the other go on where the text ends?"""
     for b in batches:
         names = b.schema.names
         out = []
-        for i, t, o in zip(*(b.column(names.index(c)).to_pylist() for c in ("id", "text", "other"))):
+        for i, t, o in zip(*(b.column(names.index(c)).to_pylist() for c in ("same", "text", "other"))):
             c = continues(t, o)
-            if c is not None and _jaccard(t, o) >= LIKENESS:
+            if c is not None and held(t, o) >= LIKENESS:
                 out.append((i, c))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.schema.field(names.index("id")).type), pa.array([x[1] for x in out], pa.bool_())], ["id", "goes_on"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.bool_())], ["same", "goes_on"])
 
 
 # -- the operator ----------------------------------------------------------------------------------------------------------
 
 
 def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, kind, line, aligned, share, at_limit, truncated) of every document with a non-blank text.
+    """(key, source, kind, line, aligned, share, at_limit, truncated, decided_by) of every document with a non-blank text.
 
-    kind: how the text ends by its last signs (closed, cut, open); a mark for a missing rest, half a character, an open
-    bracket or a single blank behind the last word are cuts. line: the form of an open text's last line. Open ends are decided in this order: near-copies
-    (five-word runs, likeness 0.8) whose alignment goes on there (aligned true) or closes there (false); whether many
-    open texts of the source end at the same length (at_limit); how often the closing three, two or one words end a
-    sentence or line in the whole collection (share, against TERMINAL_SHARE).
+    kind: how the text ends by its last signs (closed, cut, open); a mark for a missing rest, half a character or an open
+    bracket are cuts. line: the form of an open text's last line. decided_by names what decided, in this order: signs (a
+    cut); copy (near-copies by five-word runs, 0.8 of the shorter one's held, whose alignment goes on there, aligned true,
+    or closes there, false); end (closed, and no copy goes on); words (how often the closing three, two or one words end a
+    sentence or line in the whole collection: share, against TERMINAL_SHARE); limit (the words may end a text, but many
+    open texts of the source end at the same length); none (words that may end a text, at no limit).
 
     Null and blank texts and null keys give no row; repeated keys count once; a null source is a source of its own;
     other columns are ignored. Equal texts are judged once and share the result: a text cut by one source's limit is cut in every copy.
 
-    Statistics are added up in each batch before their shuffle; only open texts look for copies, by chains of min-hash
-    segments, and only texts of candidate pairs are shuffled; equal texts are one row there, so a hot text makes no
-    pairs.
+    Statistics are added up in each batch before their shuffle; only texts that end open or doubtfully look for copies,
+    and of the others' chains only those that some such text has (by a filter of bounded size) are shuffled; equal texts
+    are one there, so a hot text makes no pairs.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("same", F.sha2("text", 256))
-    docs = materialise(rows.select("id", "source", "same", "text").mapInArrow(_profile, f"id {df.schema[key].dataType.simpleString()}, source {df.schema[source].dataType.simpleString()}, same string, kind string, line string, length int, triple bigint, pair bigint, word bigint, keys array<bigint>").where(F.col("kind") != BLANK).dropDuplicates(["id"]))
-    reps = docs.groupBy("same").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("kind", "line", "triple", "pair", "word")), F.first("keys").alias("keys"))
+    rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and text is not null").withColumn("same", F.unhex(F.sha2("text", 256)))
+    docs = materialise(rows.select("id", "source", "same", "text").mapInArrow(_profile, f"id {df.schema[key].dataType.simpleString()}, source {df.schema[source].dataType.simpleString()}, same binary, kind string, line string, blank boolean, length int, triple bigint, pair bigint, word bigint, keys array<bigint>").where(F.col("kind") != BLANK).dropDuplicates(["id"]))
+    reps = docs.where((F.col("kind") == OPEN) | (F.size("keys") > 0)).groupBy("same").agg(*(F.first(c).alias(c) for c in ("kind", "line", "blank", "triple", "pair", "word")), F.first("keys").alias("keys"))
     reps = materialise(reps)
     unsure = reps.where(F.col("kind") == OPEN)
 
@@ -318,16 +383,18 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     scored = scored.withColumn("share", share)
     scored = scored.select("same", "share", F.coalesce(F.col("total1") - own <= enough[1], F.lit(True)).alias("unknown"))
 
-    left, right = unsure.select("id", F.explode("keys").alias("k")), reps.select(F.col("id").alias("other_id"), F.explode("keys").alias("k"))
-    pairs = materialise(left.join(right, "k").where("id <> other_id").select("id", "other_id").distinct())
-    texts = rows.select("id", "text").join(pairs.select(F.explode(F.array("id", "other_id")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    left = reps.select("same", F.explode("keys").alias("k"))
+    right = rows.select("same", "text").mapInArrow(_sought_beginnings(sieve(left.select(F.col("k").alias("u")))), "same binary, k bigint").distinct()
+    pairs = materialise(left.join(right.withColumnRenamed("same", "other_same"), "k").where("same <> other_same").select("same", "other_same").distinct())
+    needed = sieve(pairs.select(F.explode(F.array("same", "other_same")).alias("same")).distinct().select(F.xxhash64("same").alias("u")))
+    texts = rows.select("same", "text", F.xxhash64("same").alias("u")).mapInArrow(_only(needed), "same binary, text string").dropDuplicates(["same"])
     aligned = (
-        pairs.join(texts, "id").join(texts.toDF("other_id", "other"), "other_id").mapInArrow(_align, f"id {df.schema[key].dataType.simpleString()}, goes_on boolean")
-        .groupBy("id").agg(F.max("goes_on").alias("aligned"))
+        pairs.join(texts, "same").join(texts.toDF("other_same", "other"), "other_same").select("same", "text", "other").mapInArrow(_align, "same binary, goes_on boolean")
+        .groupBy("same").agg(F.max("goes_on").alias("aligned"))
     )
-    judged = unsure.select("same", "id").join(aligned, "id", "left").join(scored, "same", "left").select("same", "aligned", "share", "unknown")
+    judged = reps.select("same").join(aligned, "same", "left").join(scored, "same", "left")
 
-    per_source = docs.select("id", "source", "same", "kind", "line", "length")
+    per_source = docs.select("id", "source", "same", "kind", "line", "blank", "length")
     lengths = per_source.where(F.col("kind").isin(OPEN, CUT)).groupBy("source", "length").count()
     around = Window.partitionBy("source").orderBy("length").rangeBetween(-5, 0)
     near = Window.partitionBy("source").orderBy("length").rangeBetween(-200, 200)
@@ -342,19 +409,22 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     )
     result = (
         per_source.join(judged, "same", "left").join(limited, "same", "left")
-        .select("id", "source", "kind", "line", "aligned", F.round("share", 6).alias("share"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"), "unknown")
+        .select("id", "source", "kind", "line", "blank", "aligned", F.round("share", 6).alias("share"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"), "unknown")
     )
     share, line = F.coalesce("share", F.lit(0.0)), F.col("line")
-    by_words = (
+    by_words = F.coalesce(
         F.when(line == SIGNED, False).when(line == LONE, ~F.col("unknown") & (share < LONE_SHARE))
         .when(line.isin(ITEM, ROW), F.when(F.col("unknown"), True).otherwise(share < ITEM_SHARE))
-        .otherwise(F.col("unknown") | (share < TERMINAL_SHARE))
+        .otherwise(F.col("unknown") | (share < F.when(F.col("blank"), BLANK_SHARE).otherwise(TERMINAL_SHARE))),
+        F.lit(True),
     )
+    closed, copied = F.col("kind") == CLOSED, F.col("aligned")
     decided = (
-        F.when(F.col("kind") == CUT, True).when(F.col("kind") == CLOSED, False)
-        .when(F.col("aligned").isNotNull(), F.col("aligned")).when(F.col("at_limit"), True).otherwise(F.coalesce(by_words, F.lit(True)))
+        F.when(F.col("kind") == CUT, "signs").when(copied | ~closed & copied.isNotNull(), "copy").when(closed, "end")
+        .when(by_words, "words").when(F.col("at_limit"), "limit").otherwise("none")
     )
-    return result.withColumn("truncated", decided).drop("unknown").withColumnRenamed("id", key)
+    truncated = F.col("decided_by").isin("signs", "words", "limit") | (F.col("decided_by") == "copy") & F.col("aligned")
+    return result.withColumn("decided_by", decided).withColumn("truncated", truncated).drop("unknown", "blank").withColumnRenamed("id", key)
 
 
 def source_rates(cut: DataFrame) -> DataFrame:

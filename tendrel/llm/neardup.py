@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendrel.llm.common import mix, shingle_hashes, string_bytes, whole, word_hashes
+from tendrel.llm.common import mix, passes, shingle_hashes, sieve, string_bytes, whole, word_hashes
 from tendrel.session import materialise
 
 
@@ -358,34 +358,13 @@ def _within(threshold: float, slack: float):
     return run
 
 
-#: Bits of the filter of ids (a Bloom filter of three positions each); its size doesn't grow with the data. Beyond some ten
-#: million ids it lets more through, which costs shuffle and nothing else.
-FILTER_BITS = 1 << 24
-_PLACES = (0, 20, 40)
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """The filter's words, or-ed together by the executors: at most FILTER_BITS / 64 rows reach the driver."""
-    u = F.xxhash64("id")
-    at = F.explode(F.array(*(F.shiftrightunsigned(u, n).bitwiseAND(F.lit(FILTER_BITS - 1)) for n in _PLACES))).alias("at")
-    words = ids.select(at).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
-
-
 def _needed(pairs: DataFrame):
-    return pairs.sparkSession.sparkContext.broadcast(_filter_bits(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    return sieve(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("u")))
 
 
-def _wanted(b: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+def _wanted(b: pa.RecordBatch, words: np.ndarray) -> pa.RecordBatch:
     """The rows of (id, hash of id, ...) whose id the filter lets through."""
-    u = np.asarray(b.column(1)).view(np.uint64)
-    keep = np.ones(len(u), bool)
-    for n in _PLACES:
-        at = (u >> np.uint64(n)) & np.uint64(FILTER_BITS - 1)
-        keep &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return b.filter(pa.array(keep))
+    return b.filter(pa.array(passes(words, np.asarray(b.column(1)).view(np.uint64))))
 
 
 #: Bytes of a run's hash in the exact check: two texts of 1,000 runs have one wrong match with a probability of 1e-6.
