@@ -161,22 +161,29 @@ def closings(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return owner, mix(before_pair * np.uint64(0xC2B2AE3D27D4EB4F) + word), pair, word, closes
 
 
-def _closing_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and ends of each closing, added up within the batch."""
-    for b in batches:
-        col = whole(b.column(0))
-        owner, triple, pair, word, closes = closings(*string_bytes(col))
-        # an open end in a sentence or list may be a cut: its last word is no occurrence, or copies of a cut text would
-        # vouch for each other; other last words are occurrences and ends
-        bare, tails = _tails(pc.fill_null(col, ""))
-        may_be_cut = np.array([(e := ending(t)[0]) == CUT or e == OPEN and _form(bare, i, t) in (SENTENCE, ITEM) for i, t in enumerate(tails.to_pylist())], bool)
-        last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
-        keep = ~(last & may_be_cut[owner])
-        triple, pair, word, closes = triple[keep], pair[keep], word[keep], closes[keep]
-        key = np.concatenate((triple, pair, word))
-        value, back, total = np.unique(key, return_inverse=True, return_counts=True)
-        ends = np.bincount(back, weights=np.tile(closes, 3), minlength=len(value)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ends), pa.array(total.astype(np.int64))], ["k", "ends", "total"])
+def _closing_stats(asked):
+    """(text) -> (k, ends, total): occurrences and ends of each closing that is asked for, added up within the batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = whole(b.column(0))
+            owner, triple, pair, word, closes = closings(*string_bytes(col))
+            # an open end in a sentence or list may be a cut: its last word is no occurrence, or copies of a cut text would
+            # vouch for each other; other last words are occurrences and ends
+            bare, tails = _tails(pc.fill_null(col, ""))
+            may_be_cut = np.array([(e := ending(t)[0]) == CUT or e == OPEN and _form(bare, i, t) in (SENTENCE, ITEM) for i, t in enumerate(tails.to_pylist())], bool)
+            last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
+            counts = ~(last & may_be_cut[owner])
+            keys, ends = [], []
+            for key in (triple, pair, word):
+                ok = counts & passes(asked.value, key)
+                keys.append(key[ok])
+                ends.append(closes[ok])
+            value, back, total = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            ended = np.bincount(back, weights=np.concatenate(ends), minlength=len(value)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ended), pa.array(total.astype(np.int64))], ["k", "ends", "total"])
+
+    return run
 
 
 #: Characters at the end of a text, blanks behind it left out, that its kind of ending and closing words are read from.
@@ -292,32 +299,32 @@ def continues(text: str, other: str) -> bool | None:
     """Whether other goes on inside a sentence where text ends (True), ends a sentence there (False), or neither can be
     told (None). The texts must be near-copies; the last words of text are looked up in other, the latest place first."""
     t = text.rstrip(_SPACE)
-    if m := _MARK.search(t):
-        t = t[: m.start()].rstrip(_SPACE)
-    words = list(_TOKEN.finditer(t))
+    if m := _MARK.search(t[-80:]):
+        t = t[: len(t) - len(m.group())].rstrip(_SPACE)
+    # eight words stand in the last hundred characters or so; where they don't, more is read
+    reach = 100
+    while len(words := list(_TOKEN.finditer(t, max(0, len(t) - reach)))) < 9 and reach < len(t):
+        reach *= 2
     if len(words) < 8:
         return None
-    whole_words = [w.group().lower() for w in words]
-    theirs = list(_TOKEN.finditer(other))
-    their_words = [w.group().lower() for w in theirs]
     # the last word may be cut: seven words before it must agree, and it must be the beginning of the other's word
-    tail, last = whole_words[-8:-1], whole_words[-1]
-    for i in range(len(their_words) - 8, -1, -1):
-        if their_words[i : i + 7] == tail and their_words[i + 7].startswith(last):
-            match = theirs[i + 7]
-            if len(match.group()) > len(last):
-                return True
-            rest = other[match.end() :]
-            own_rest = t[words[-1].end() :]
-            if own_rest.strip(_SPACE) and rest.startswith(own_rest.rstrip(_SPACE)):
-                rest = rest[len(own_rest.rstrip(_SPACE)) :]
-            gap = re.match(r"[^\w]*", rest).group()
-            if not rest.strip(_SPACE):
-                return None
-            if re.match(r"[ \t]*[.!?:;…]|[\"”’)\]]*[.!?]|[ \t]*\r?\n", gap) or len(gap) == len(rest):
-                return False
-            return True
-    return None
+    tail, last = [w.group().lower() for w in words[-8:-1]], words[-1].group().lower()
+    pattern = re.compile(r"(?<![^\W_])" + r"[\W_]+".join(map(re.escape, tail)) + r"[\W_]+(" + re.escape(last) + r"[^\W_]*)", re.I)
+    match = None
+    for match in pattern.finditer(other):
+        pass
+    if match is None:
+        return None
+    if match.end() - match.start(1) > len(last):
+        return True
+    rest = other[match.end() :]
+    own_rest = t[words[-1].end() :].rstrip(_SPACE)
+    if own_rest and rest.startswith(own_rest):
+        rest = rest[len(own_rest) :]
+    gap = re.match(r"[^\w]*", rest).group()
+    if not rest.strip(_SPACE):
+        return None
+    return not (re.match(r"[ \t]*[.!?:;…]|[\"”’)\]]*[.!?]|[ \t]*\r?\n", gap) or len(gap) == len(rest))
 
 
 def held(text: str, other: str) -> float:
@@ -365,11 +372,12 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     reps = materialise(reps)
     unsure = reps.where(F.col("kind") == OPEN)
 
-    stats = rows.select("text").mapInArrow(_closing_stats, "k bigint, ends bigint, total bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
     levels = F.array(*(F.struct(F.lit(n).alias("n"), F.col(c).alias("k")) for n, c in ((3, "triple"), (2, "pair"), (1, "word"))))
     wanted = unsure.select("same", F.explode(levels).alias("w")).select("same", "w.n", "w.k")
+    asked = sieve(wanted.select(F.col("k").alias("u")).distinct())
+    stats = rows.select("text").mapInArrow(_closing_stats(asked), "k bigint, ends bigint, total bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
     scored = (
-        stats.join(wanted.select("k").distinct(), "k", "left_semi").join(wanted, "k")
+        stats.join(wanted, "k")
         .groupBy("same").agg(*(F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2, 3) for c in ("ends", "total")))
     )
     # the text's own last word, where it was counted, says nothing about itself: one occurrence and one end less; rare
