@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +44,8 @@ SETEXT = re.compile(r"^(?=.*\w)(?![ \t]*(?:[-*+>|]|\d+[.)]) )([^\n|]{1,120}\S)[
 TASK = re.compile(r"^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]+", re.M)
 QUOTE = re.compile(r"^[ \t]{0,3}>[ \t]+(?=\S)", re.M)
 DELIMITER_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$|^[ \t]*\|[ \t]*:?-{2,}:?[ \t]*\|[ \t]*\r?$", re.M)
-_MARKDOWN = (EMPHASIS, STRUCK, CODE_SPAN, IMAGE, LINK, FENCE, ATX, SETEXT, TASK, QUOTE, DELIMITER_ROW)
+#: Signs of Markdown alone; a heading's # at the start of a line is a list item in wiki pages.
+_MARKDOWN = (EMPHASIS, STRUCK, CODE_SPAN, IMAGE, LINK, FENCE, SETEXT, TASK, QUOTE, DELIMITER_ROW)
 
 WIKI_LINK = re.compile(r"\[\[(?:([^\[\]\n|]*)\|)?(?:[^\[\]\n|]*\|)*([^\[\]\n|]*)\]\]")
 TEMPLATE = re.compile(r"\{\{\s*([#A-Za-z][\w -]*)\s*(?:\|((?:[^{}]|\{\{[^{}]*\}\})*))?\}\}")
@@ -63,8 +65,8 @@ ESCAPED = re.compile(r"(?<![\\\w:]\\)(?<![A-Za-z]:)\\([%&_#$])(?!\w)")
 _LATEX = (COMMAND, MATH, ROW_END, ESCAPED)
 
 
-def kinds(text: str) -> list[str]:
-    """Which markup languages text holds at least one sign of."""
+def _own_signs(text: str) -> list[str]:
+    """The languages of which text holds a sign that no other one has."""
     found = []
     if ("<" in text and _HTML.search(text)) or ("&" in text and any(_is_entity(m) for m in ENTITY.finditer(text))):
         found.append("html")
@@ -77,6 +79,15 @@ def kinds(text: str) -> list[str]:
     return found
 
 
+def kinds(text: str) -> list[str]:
+    """Which markup languages text holds at least one sign of; a sign that two languages share is its block's."""
+    found = set(_own_signs(text))
+    if ATX.search(text):
+        # only in a text that is wiki elsewhere can the sign be another language's
+        found |= {lang for start, end, _, lang in label_blocks(text) if ATX.search(text[start:end])} if "wiki" in found else {"markdown"}
+    return [k for k in KINDS if k in found]
+
+
 # -- blocks -----------------------------------------------------------------------------------------------------
 
 #: Frequent function words of the languages at hand, for the density of running text.
@@ -88,49 +99,72 @@ STOPWORDS = frozenset(
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _LINKED = re.compile(rf"{IMAGE.pattern}|{LINK.pattern}|<a\b[^>]*>.*?</a>|{WIKI_LINK.pattern}|https?://\S+", re.I | re.S)
+#: Lines of signs that say nothing by themselves: rules, stars, hashes, bars and list signs.
 _AMBIGUOUS = re.compile(r"^[ \t]*(?:[-*_=~]{3,}|[*#>|:;]{1,6}(?:[ \t].*)?|[-+] .*|\d+[.)] .*)\r?$")
+#: Rows of cells and list items hold what belongs to the text, however many links that is.
+_STRUCTURE = re.compile(r"^[ \t]*(?:[-*+•|]|\d+[.)]|#)")
 
+PROSE, MARKED, FURNITURE, SHORT = "prose", "mark-up", "furniture", "short"
+#: Density of stop words and length from which a line is running text, and share of links from which it may be furniture.
+PROSE_STOPS, PROSE_SIZE, LINKS = 0.12, 60, 0.5
 
-def _features(block: str) -> tuple[float, int, float]:
-    """(stop-word density, length in characters, link density)."""
+
+def _features(block: str) -> tuple[float, int, float, int]:
+    """(stop-word density, length in characters, link density, links)."""
     words = _WORD.findall(block.lower())
     stop = sum(w in STOPWORDS for w in words) / len(words) if words else 0.0
-    linked = sum(len(m.group()) for m in _LINKED.finditer(block)) / len(block) if block else 0.0
-    return stop, len(block), linked
+    links = [len(m.group()) for m in _LINKED.finditer(block)] if "[" in block or "<" in block or "://" in block else []
+    return stop, len(block), sum(links) / len(block) if block else 0.0, len(links)
+
+
+def _nearest(decided: list[int], i: int) -> int | None:
+    """The decided line nearest to line i, the earlier of two at the same distance."""
+    at = bisect_left(decided, i)
+    return min(decided[max(0, at - 1) : at + 1], key=lambda j: (abs(j - i), j), default=None)
 
 
 def label_blocks(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, role, language) of the lines of text.
 
-    First pass: a line with signs of one language is that language's; long lines dense in stop words and poor in links
-    are prose. Short lines with signs several languages share (rules, stars, hashes, bars) stay undecided. Second pass:
-    each takes the language of the nearest decided line, the earlier of two at the same distance; without any it is
-    plain. Roles: prose, mark-up (any other line with signs), furniture (mostly links), short.
+    First pass, by stop-word density, length, link density and signs: long lines dense in stop words are prose; lines of
+    several links and little else are furniture (menus, paths of links); other lines with signs of their own are mark-up.
+    Of these the language is that of their signs, and none for prose without any. Short lines of a single link, and lines
+    whose signs several languages share (hashes, stars, rules, bars), stay undecided.
+
+    Second pass: each undecided line takes role and language of the nearest decided line, the earlier of two at the same
+    distance. A shared sign next to prose, or without any decided line, is read as Markdown's where Markdown has it.
     """
     lines, at = [], 0
     for line in text.splitlines(keepends=True):
         lines.append((at, at + len(line), line))
         at += len(line)
-    roles: list[str] = []
+    roles: list[str | None] = []
     langs: list[str | None] = []
-    for _, _, line in lines:
-        stop, size, linked = _features(line.strip())
-        own = kinds(line)
-        roles.append("furniture" if linked > 0.6 and stop < 0.2 and size > 40 else "prose" if stop >= 0.12 and size >= 60 else "mark-up" if own else "short")
-        if len(own) == 1 and not _AMBIGUOUS.match(line):
-            langs.append(own[0])
-        elif own:
-            langs.append(None if _AMBIGUOUS.match(line) else own[0])
+    # a heading and the rule below it are one sign
+    underlined = [m.span() for m in SETEXT.finditer(text)]
+    for begin, _, line in lines:
+        bare = line.strip()
+        stop, size, linked, links = _features(bare)
+        own = ["markdown"] if any(a <= begin < b for a, b in underlined) else _own_signs(line) if bare else []
+        shared = bool(_AMBIGUOUS.match(line)) and not own
+        prose = stop >= PROSE_STOPS and size >= PROSE_SIZE
+        if linked > LINKS and stop < PROSE_STOPS and not _STRUCTURE.match(line):
+            roles.append(FURNITURE if links > 1 and size > 40 else None)
         else:
-            langs.append(None if _AMBIGUOUS.match(line) and size < 200 else "")
-    decided = [i for i, x in enumerate(langs) if x]
+            roles.append(PROSE if prose and not shared else MARKED if own else SHORT)
+        langs.append(own[0] if own else None if shared and bare else "" if prose else "?")
+    decided = [i for i, x in enumerate(langs) if x is not None and x != "?" and roles[i] != FURNITURE]
+    settled = [i for i, x in enumerate(roles) if x in (PROSE, MARKED, FURNITURE)]
     out = []
-    for i, (start, end, _) in enumerate(lines):
-        lang = langs[i]
+    for i, (start, end, line) in enumerate(lines):
+        lang, role = langs[i], roles[i]
         if lang is None:
-            near = min(decided, key=lambda j: (abs(j - i), j)) if decided else None
-            lang = langs[near] if near is not None else (kinds(text[start:end]) or [""])[0]
-        out.append((start, end, roles[i], lang or ""))
+            near = _nearest(decided, i)
+            lang = (langs[near] if near is not None else "") or ("markdown" if ATX.match(line.rstrip("\r\n")) else "")
+        if role is None:
+            near = _nearest(settled, i)
+            role = FURNITURE if near is not None and roles[near] == FURNITURE else MARKED
+        out.append((start, end, role, "" if lang == "?" else lang))
     return out
 
 
@@ -174,7 +208,7 @@ def _from_markdown(text: str) -> str:
 
 def _from_wiki(text: str) -> str:
     text = re.sub(r"\{(code|noformat)(?:[:=][^{}\n]*)?\}\s*(.*?)\s*\{\1\}", lambda m: "\n```\n" + m.group(2) + "\n```\n", text, flags=re.S)
-    text = re.sub(r"^[ \t]*([*#]{1,6})[ \t]+(?=\S)", lambda m: "  " * (len(m.group(1)) - 1) + "- ", text, flags=re.M) if NESTED.search(text) else text
+    text = re.sub(r"^[ \t]*([*#]{1,6})[ \t]+(?=\S)", lambda m: "  " * (len(m.group(1)) - 1) + "- ", text, flags=re.M)
     text = WIKI_HEAD.sub(lambda m: "#" * (len(m.group(1)) - 1) + " " + m.group(2), text)
     text = CONFLUENCE_HEAD.sub(lambda m: "#" * int(m.group(1)) + " ", text)
     text = re.sub(r"^[ \t]*(?:\{\|.*|\|\}|\|-+)[ \t]*\r?$\n?", "", text, flags=re.M)
@@ -230,34 +264,35 @@ _CONVERT = {"latex": _from_latex, "wiki": _from_wiki, "markdown": _from_markdown
 
 def clean(text: str) -> tuple[str, list[str]]:
     """(clean text, markup languages found). Headings come out as #, list items as -, table rows with bars between
-    cells, code between fences and formulas between dollar signs; everything else is plain. Text without markup comes
-    out as it is."""
+    cells, code between fences and formulas between dollar signs; menus of links are left out and everything else is plain.
+    Text without markup comes out as it is."""
     found = kinds(text)
     if not found:
         return text, found
-    blocks = label_blocks(text)
     used = [k for k in ("html", "latex", "wiki", "markdown") if k in found]
     parts: list[str] = []
-    for start, end, lang in _runs(text, blocks):
-        part = text[start:end]
+    for part, lang in _runs(text, label_blocks(text)):
+        own = _own_signs(part)
         for kind in used:
             # signs that several languages share are read as the language of their block
-            if kind == lang or kind in kinds(part):
+            if kind in (lang, *own):
                 part = _protected(part, _CONVERT[kind])
         parts.append(part)
     out = "".join(parts)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n)|(?<=\S)[ \t]{2,}(?=\S)", lambda m: "" if not m.group() or m.end() < len(out) and out[m.end()] == "\n" else " ", out)).strip("\n"), found
 
 
-def _runs(text: str, blocks: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str]]:
-    """Stretches of lines of one language; plain lines join the stretch they stand in, for markup spans lines."""
+def _runs(text: str, blocks: list[tuple[int, int, str, str]]) -> Iterator[tuple[str, str]]:
+    """Stretches of lines of one language, without furniture; plain lines join the stretch they stand in, for markup
+    spans lines."""
+    blocks = [b for b in blocks if b[2] != FURNITURE]
     i = 0
     while i < len(blocks):
         lang, j = blocks[i][3], i + 1
         while j < len(blocks) and (not lang or blocks[j][3] in (lang, "")):
             lang = lang or blocks[j][3]
             j += 1
-        yield blocks[i][0], blocks[j - 1][1], lang
+        yield "".join(text[start:end] for start, end, *_ in blocks[i:j]), lang
         i = j
 
 

@@ -64,6 +64,39 @@ def test_shared_signs_follow_their_neighbours():
     assert roles == ["prose", "furniture"]
 
 
+PROSE = "The register of all the sites is kept by the supplier and it is checked in each of the months of the term."
+
+
+def test_blocks_decide_what_is_found():
+    """A hash at the start of a line is a wiki list next to wiki lines, and a heading next to prose: length and density of
+    stop words of the line between decide."""
+    assert m.kinds("'''wiki''' line here\n# item") == ["wiki"]
+    assert m.clean("'''wiki''' line here\n# item")[0] == "wiki line here\n- item"
+    assert m.kinds(f"'''wiki''' line here\n{PROSE}\n# item") == ["markdown", "wiki"]
+    assert m.clean(f"'''wiki''' line here\n{PROSE}\n# item")[0] == f"wiki line here\n{PROSE}\n# item"
+    for thin in (PROSE[:50], " ".join(w for w in PROSE.split() if w.lower() not in m.STOPWORDS) + " " + "x" * 60):
+        assert m.kinds(f"'''wiki''' line here\n{thin}\n# item") == ["wiki"]
+
+
+@pytest.mark.parametrize("name, value", [("PROSE_STOPS", 0.9), ("PROSE_SIZE", 500), ("LINKS", 1.1)])
+def test_each_feature_changes_the_result(monkeypatch, name, value):
+    text = f"'''wiki''' line here\n{PROSE}\n# item\n[Home page](/) [Tenders](/t) [Contact us](/c) [Sitemap](/s)\n[Up](/)"
+    before = m.clean(text)
+    monkeypatch.setattr(m, name, value)
+    assert m.clean(text) != before
+
+
+def test_furniture_goes():
+    menu = "[Home page](/) | [Tenders](/tenders) | [Contact us](/contact) | [Sitemap](/map)"
+    assert m.clean(f"{menu}\n[Up](/)\n{PROSE}\nSee [Annex 3](a3.html) and [Annex 4](a4.html).\n- [Form A](a.html)\n| [B](b) | [C](c) |\n{menu}") == (f"{PROSE}\nSee Annex 3 and Annex 4.\n- Form A\nB | C", ["markdown"])
+    # a short link next to text belongs to it
+    assert m.clean(f"{PROSE}\n[Up](/)\n{PROSE}")[0] == f"{PROSE}\nUp\n{PROSE}"
+
+
+def test_underlined_headings_stay_whole():
+    assert m.clean(f"'''wiki''' here\nHead of it\n----------\n{PROSE}")[0] == f"wiki here\n# Head of it\n{PROSE}"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab <>/&;*_`~[](){}|'=#\\$%^-\n!h2."), max_size=120))
 def test_any_text_passes(text):
