@@ -6,7 +6,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from tendrel.llm.common import once
 from tendrel.llm.language import language, votes
 from tendrel.llm.markup import clean
+from tendrel.llm.refusals import _SENTENCE, is_refusal, words
 
 # -- no statement ---------------------------------------------------------------------------------------------------
 
@@ -37,93 +37,15 @@ def is_empty(answer: str | None) -> bool:
     return bool(re.fullmatch(r"[\[({<]\s*(?:placeholder|insert|add|todo|tbd|answer)\b[^\[\](){}<>]*[\])}>]", text, re.I))
 
 
-# -- refusal --------------------------------------------------------------------------------------------------------
+# -- copies -------------------------------------------------------------------------------------------------------------
 
-#: What a refusal says, normalised to words in lower case; * stands for up to four words.
-REFUSALS = """
-i cannot * answer|i can not * answer|i can't answer|i cannot * respond|i cannot * help|i cannot * provide|i cannot * write|i can't * help|i can't provide|cannot answer this
-unable to respond|unable to answer|unable to help|unable to provide an answer|unable to draft|unable to write|unable to comment|not able to respond|not able to answer|i am not able to|i'm not able to|we are unable to answer
-not able to give commitments|no response can be written|no answer can be|no response can be|no answer is offered|no response is offered|nothing is offered|no reply can be
-must decline|decline to answer|decline to respond|declines to answer|we decline|i decline|i must decline|won't be able to|will not be able to produce|will not be able to answer
-guidelines do not|guidelines don't|policy does not let me|facts i do not have|facts i don't have|i do not have * information|left for a human|outside my remit|beyond my remit|not within my remit
-rather not speculate|rather not answer|rather not say|leave this requirement unanswered|leave * unanswered|left unanswered|not possible to draft|not possible to answer|not possible to write|not possible to respond|impossible to answer
-as a drafting assistant|as an ai|as a language model|as an assistant|sorry i can|sorry but i|i won't|i refuse|not in a position to answer|not in a position to respond|no basis for an answer|no basis on which to answer
-je ne peux pas|je ne suis pas en mesure|nous ne pouvons pas répondre|aucune réponse ne peut|aucune réponse n'est|impossible de répondre|il n'est pas possible de rédiger|il n'est pas possible de répondre|je dois décliner|je préfère ne pas
-kann ich * keine antwort|keine antwort möglich|keine antwort geben|ich kann * nicht beantworten|ich kann * keine|nicht in der lage|muss ich ablehnen|kann nicht beantwortet werden|können wir nicht beantworten|wird keine antwort
-no puedo responder|no puedo redactar|no puedo contestar|no es posible redactar|no es posible responder|no podemos responder|no se puede responder|no se ofrece|lamento no poder|debo declinar|no estoy en condiciones
-""".replace("\n", "|").strip("|").split("|")
-
-#: What may surround a refusal or a copied requirement without saying anything.
+#: What may introduce or follow a copied requirement without saying anything, as whole words.
 FILLERS = """
-thank you for the question|thank you for your question|thanks for the question|having read the extracts|regarding the requirement set out above|a member of the bid team should look at it|further guidance may be sought from the buyer|please supply more material and try again|please ask
-the supplier has read the following|requirement noted|in reply to|in response to|our response|our answer|response to|answer to|with regard to|regarding|as requested|question|you ask|you asked|the requirement reads|the requirement says|we note the requirement|we note that|noted|re|q|a|sorry|apologies|unfortunately
-merci pour la question|merci de votre question|exigence notée|en réponse à|concernant|vielen dank für die frage|anforderung zur kenntnis genommen|zu|gracias por la pregunta|requisito anotado|en respuesta a|malheureusement|désolé|leider|lo siento
-""".replace("\n", "|").strip("|").split("|")
-
-_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-
-
-def words(text: str) -> list[str]:
-    return [w.replace("’", "'").lower() for w in _WORDS.findall(text)]
-
-
-class Phrases:
-    """An automaton of word phrases with gaps: parts are found in one pass, then joined over at most four words."""
-
-    def __init__(self, phrases: list[str], gap: int = 4):
-        self.gap, self.first, self.next = gap, {}, {}
-        machine = ahocorasick.Automaton()
-        for phrase in phrases:
-            parts = [" ".join(words(p)) for p in phrase.split("*")]
-            for i, part in enumerate(parts):
-                key = f" {part} "
-                kinds = machine.get(key, set())
-                kinds.add((tuple(parts), i))
-                machine.add_word(key, kinds)
-        machine.make_automaton()
-        self.machine = machine
-
-    def found(self, text_words: list[str]) -> list[tuple[int, int]]:
-        """(first, last) character spans in the joined words."""
-        text = " " + " ".join(text_words) + " "
-        hits: dict[tuple[tuple[str, ...], int], list[tuple[int, int]]] = {}
-        out = []
-        for end, kinds in self.machine.iter(text):
-            for parts, i in kinds:
-                size = len(parts[i]) + 2
-                if i == 0:
-                    span = (end - size + 1, end)
-                else:
-                    start = end - size + 1
-                    before = [s for s, e in hits.get((parts, i - 1), []) if e <= start + 1 and text.count(" ", e, start + 1) <= self.gap]
-                    if not before:
-                        continue
-                    span = (min(before), end)
-                hits.setdefault((parts, i), []).append(span)
-                if i == len(parts) - 1:
-                    out.append(span)
-        return out
-
-
-_REFUSES = Phrases(REFUSALS)
-_SENTENCE = re.compile(r"(?<=[.!?;])[\"”’)]*\s+|\n+")
-_FILLS = re.compile("|".join(sorted((re.escape(" ".join(words(f))) for f in FILLERS), key=len, reverse=True)))
-
-
-def is_refusal(answer: str) -> bool:
-    """A refusal phrase, and little besides the sentences that hold one and fillers."""
-    sentences = [s for s in _SENTENCE.split(answer) if s and s.strip()]
-    refused, rest = 0, 0
-    for s in sentences:
-        w = words(s)
-        if _REFUSES.found(w):
-            refused += 1
-        else:
-            rest += len(_FILLS.sub(" ", " ".join(w)).split())
-    return refused > 0 and rest <= 12
-
-
-# -- copies ---------------------------------------------------------------------------------------------------------
+thank you for the question|thank you for your question|thanks for the question|having read the extracts|regarding the requirement set out above|the supplier has read the following|requirement noted|in reply to|in response to|
+our response|our answer|response to|answer to|with regard to|regarding|as requested|question|you ask|you asked|the requirement reads|the requirement says|we note the requirement|we note that|noted|re|q|a|please ask|
+merci pour la question|merci de votre question|exigence notée|en réponse à|concernant|vielen dank für die frage|anforderung zur kenntnis genommen|zu|gracias por la pregunta|requisito anotado|en respuesta a
+""".replace("\n", "").split("|")
+_FILLS = re.compile(r"(?<!\S)(?:" + "|".join(sorted((re.escape(" ".join(words(f))) for f in FILLERS), key=len, reverse=True)) + r")(?!\S)")
 
 
 class SuffixAutomaton:
@@ -186,7 +108,7 @@ def is_copied(answer: str, requirement: str | None) -> bool:
         return False
     said = " ".join(said)
     said = re.sub(r"^r \d+ ", "", said)
-    said = _FILLS.sub(lambda m: m.group() if m.start() and said[m.start() - 1] != " " or m.end() < len(said) and said[m.end()] != " " or m.group() in asked else " ", said).split()
+    said = _FILLS.sub(lambda m: m.group() if m.group() in asked else " ", said).split()
     if not said:
         return False
     covered = SuffixAutomaton(asked).covered(said, 2 if len(asked) < 8 else 3)

@@ -9,10 +9,10 @@ FUNCTION_WORDS = {
     "en": "a an these those than into per should may can you your do does did how many most some the of and to in is are for by with that at from on be as or an this it will shall must our we was has have been which who not their its any each within before when under how what",
     "fr": "cet tout toute tous doit être aux ou où leur ces entre comme plus le la les de des du et à en un une est sont pour par avec dans que qui sur au aux ce cette ses son sa nous vous il elle leur ne pas se plus fin depuis chaque comment leurs après l d s qu",
     "de": "muss soll durch über unter zwischen kann können alle der die das und in den von zu mit für im ist sind des dem auf nicht ein eine einer einen werden wird sich auch an als bei nach vor aus am wie sie wir ohne liegt seit statt dort einschließlich",
-    "es": "a cualquier deberá debe este esta estos estas entre sobre también cuando qué quién otro otra todo todos muy mil euros el la los las de del y en un una es son por para con que se al su sus como más lo no o cada hasta según desde menos casi toda hace antes cómo días días sin",
+    "es": "a cualquier deberá debe este esta estos estas entre sobre también cuando qué quién otro otra todo todos muy el la los las de del y en un una es son por para con que se al su sus como más lo no o cada hasta según desde menos casi toda hace antes cómo días días sin",
     "it": "a il lo la gli le di del della dei degli e è in un una per con che si al alla da dal dai non sono sono i ogni entro senza viene vengono dopo dura ed ogni restano nel",
     "nl": "de het een en van in is te op met voor dat die niet zijn aan er door bij naar ook om tot uit wordt worden binnen na ieder jaar daar sinds zonder",
-    "pl": "i w na z do nie się jest są przez o od dla po że jak oraz co bez te ten ta dane są każda lat roku punkt przed ciągu osób urządzeń zespół",
+    "pl": "i w na z do nie się jest są przez o od dla po że jak oraz co bez te ten ta są każda przed oraz przy nad pod jest był być który która które tym tego tych tylko także ich jego",
     "pt": "o os as a de do da dos das e em um uma é são para por com que não se ao no na nos nas foi mais como cada até sem",
     "sv": "och att det som en ett av är för på med den till inte om har de vid från efter inom varje under utan",
     "da": "og at det som en et af er for på med den til ikke om har de ved fra efter inden hver under uden i",

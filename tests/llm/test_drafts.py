@@ -72,9 +72,13 @@ def test_automaton_against_brute_force(known, seen):
     assert d.SuffixAutomaton(known).covered(seen) == want
 
 
-def test_phrases_with_gaps():
-    p = d.Phrases(["i cannot * answer"])
-    assert p.found("well i cannot really ever answer".split()) and not p.found("i cannot one two three four five answer".split()) and p.found("i cannot answer".split())
+def test_rules_with_gaps():
+    from tendrel.llm.refusals import Kinds
+
+    k = Kinds({"not": "cannot|can not", "say": "answer"})
+    rule = (("not", 2, "say"),)
+    assert k.matches("i cannot answer".split(), rule) and k.matches("i can not fully now answer".split(), rule)
+    assert not k.matches("i cannot in any way at all answer".split(), rule) and not k.matches("answer cannot".split(), rule) and not k.matches([], rule)
 
 
 def test_delimiters():
@@ -89,3 +93,22 @@ def test_operator(frame):
     got = {(r["draft_id"], r["defect"]) for r in d.broken_drafts(frame(rows, schema), req).collect()}
     assert got == {(1, "empty"), (2, "copied"), (3, "refusal"), (4, "empty"), (7, "truncated")}
     assert d.broken_drafts(frame([], schema), req).collect() == []
+
+
+def test_refusals_in_other_words():
+    import refusal_lists as r
+
+    for refusals, others in ((r.REFUSALS, r.LOOK_ALIKES), (r.SECOND, r.SECOND_LOOK_ALIKES), (r.THIRD, r.THIRD_LOOK_ALIKES)):
+        hits, wrong = sum(map(d.is_refusal, refusals)), sum(map(d.is_refusal, others))
+        assert hits >= 0.9 * len(refusals) and hits >= 0.95 * (hits + wrong)
+
+
+def test_fillers_are_whole_words():
+    assert d._FILLS.sub(" ", "data storage area at the quarry") == "data storage area at the quarry"
+    assert d._FILLS.sub(" ", "q the quarry a") .split() == ["the", "quarry"]
+
+
+def test_a_refusal_beside_an_answer_is_none():
+    assert d.is_refusal("Thank you for the question. I cannot answer this requirement. Please ask the buyer.")
+    assert not d.is_refusal("I cannot answer this requirement for lot 2. In lot 1 the desk is staffed day and night by two clerks who log each call in the tool.")
+    assert not d.is_refusal("Please ask the buyer.") and not d.is_refusal("")
