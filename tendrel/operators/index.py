@@ -10,11 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendrel.session import materialise
+from tendrel.session import materialise, spread
 
 K1, B, TOP = 1.5, 0.75, 3
-#: Queries whose postings one task holds at a time; their terms and tokens are what is sent to each executor.
-QUERY_BLOCK = 50_000
+#: Tokens of the queries that are ranked in one pass; they are what is sent to each executor, at 8 bytes a token besides
+#: their different terms. A larger set of queries takes as many passes.
+BLOCK_TOKENS = 2_000_000
+#: Sections one step of a task ranks at a time.
+SECTIONS = 4096
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -37,8 +40,18 @@ def term_stats(chunks: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(corpus_stats(chunks).select("n"))).select("term", "df", F.log(1 + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
 
 
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores above 0, of equal ones the later first; only places with a score are ordered."""
+    hit = np.flatnonzero(score)
+    if len(hit) > k:
+        # all that reach the k-th best stay, so that ties are settled by place
+        at = len(hit) - k
+        hit = hit[score[hit] >= np.partition(score[hit], at)[at]]
+    return hit[np.lexsort((-hit, -score[hit]))][:k]
+
+
 def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
-    """Best k sections of one Arrow batch for each query of a block: (query, chunk_ix, score)."""
+    """Best k sections of a stretch of sections for each query of a block: (query, chunk_ix, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf, ids, flat, starts = block.value
@@ -46,9 +59,7 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             return
         vocabulary = pa.array(terms, pa.string())
         avg = stats[1]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole_batch[i : i + SECTIONS] for whole_batch in batches for i in range(0, whole_batch.num_rows, SECTIONS)):
             tokens = batch.column(1)
             ix = np.asarray(batch.column(0))
             order = np.argsort(ix, kind="stable")
@@ -63,54 +74,62 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             term, at = pair // len(ix), pair % len(ix)
             long = length[order][at]
             weight = idf[term] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * long / avg)) if avg else np.zeros(len(tf))
+            # the term's sections and weights here; a query only meets terms that this stretch has
             first = np.searchsorted(term, np.arange(len(terms) + 1))
+            lists = [(at[i:j], weight[i:j]) if j > i else None for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+            here = np.flatnonzero(flat >= 0)
+            here = here[np.diff(first)[flat[here]] > 0]
+            bounds = np.searchsorted(here, starts).tolist()
+            wanted = flat[here].tolist()
             out_q, out_c, out_s = [], [], []
             score = np.zeros(len(ix))
-            for q in range(len(ids)):
-                for t in flat[starts[q] : starts[q + 1]]:  # in token order, repeats too: sums come out the same everywhere
-                    if t >= 0:
-                        score[at[first[t] : first[t + 1]]] += weight[first[t] : first[t + 1]]
+            for q in np.flatnonzero(np.diff(bounds)).tolist():
+                for t in wanted[bounds[q] : bounds[q + 1]]:  # in token order, repeats too: sums come out the same everywhere
+                    places, own = lists[t]
+                    score[places] += own
                 # sections are in the order of their index, so that of equal scores the higher index comes first
-                reach = np.argpartition(score, len(score) - k)[-k:] if len(score) > k else np.arange(len(score))
-                reach = np.flatnonzero(score >= score[reach].min()) if len(reach) else reach
-                best = reach[np.lexsort((-reach, -score[reach]))][:k]
-                best = best[score[best] > 0]
-                out_q.append(np.full(len(best), q))
+                best = _top(score, k)
+                out_q.extend([q] * len(best))
                 out_c.append(best)
                 out_s.append(score[best])
                 score[:] = 0
-            q, c = np.concatenate(out_q).astype(np.int64), np.concatenate(out_c).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(q)), pa.array(ix[order][c]), pa.array(np.concatenate(out_s))], ["query", "chunk_ix", "score"])
+            if out_c:
+                c = np.concatenate(out_c)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(out_q, np.int64)]), pa.array(ix[order][c]), pa.array(np.concatenate(out_s))], ["query", "chunk_ix", "score"])
 
     return run
 
 
-def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int = TOP, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
+def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int = TOP, k1: float = K1, b: float = B, block: int = BLOCK_TOKENS) -> DataFrame:
     """(key, chunk_ix, score, rank) of the k best sections for each query (key bigint, tokens), by BM25 over the occurrences of
     its tokens; of equal scores the higher index ranks first, and scores of 0 don't rank.
 
-    Each task ranks one Arrow batch of sections for a block of queries and gives at most k rows per query, so what is
-    shuffled is k rows per query and batch, not a row for every shared term. Queries are sent out in blocks of `block`;
-    a larger set takes as many passes. Term statistics are built once.
+    Each task ranks stretches of sections for a block of queries and gives at most k rows per query that any of them
+    matches, so what is shuffled is k rows per query and stretch, not a row for every shared term. Queries are a stated
+    set sent out in blocks of about `block` tokens (one query more at most); a larger set takes as many passes over the
+    sections. Term statistics are built once.
     """
     spark = chunks.sparkSession
     stats = tuple(corpus_stats(chunks).select("n", "avg_len").first())
     if not stats[0]:
         return spark.createDataFrame([], f"{key} bigint, chunk_ix bigint, score double, rank int")
+    sections = spread(chunks.select(F.col("chunk_ix").cast("bigint"), "tokens"))
     idf = materialise(term_stats(chunks).select("term", "idf"))
-    wanted = materialise(queries.select(F.col(key).cast("bigint").alias("query"), "tokens"))
-    total = wanted.count()
+    wanted = materialise(queries.select(F.col(key).cast("bigint").alias("query"), "tokens").where(F.size("tokens") > 0))
+    total = wanted.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block))
     parts = []
     for i in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        rows = part.collect()
-        found = idf.join(part.select(F.explode("tokens").alias("term")).distinct(), "term").collect()
-        number = {r["term"]: n for n, r in enumerate(found)}
-        flat = np.array([number.get(t, -1) for r in rows for t in (r["tokens"] or [])], dtype=np.int64)
-        starts = np.concatenate(([0], np.cumsum([len(r["tokens"] or []) for r in rows]))).astype(np.int64)
-        sent = spark.sparkContext.broadcast((list(number), np.array([r["idf"] for r in found]), np.array([r["query"] for r in rows], dtype=np.int64), flat, starts))
-        parts.append(chunks.select(F.col("chunk_ix").cast("bigint"), "tokens").mapInArrow(_rank(stats, sent, k, k1, b), "query bigint, chunk_ix bigint, score double"))
+        rows = part.toArrow()
+        ids, tokens = rows.column("query").to_numpy(), rows.column("tokens").combine_chunks()
+        found = idf.join(part.select(F.explode("tokens").alias("term")).distinct(), "term").toArrow()
+        terms = found.column("term").combine_chunks()
+        place = pc.index_in(tokens.flatten(), value_set=terms)
+        flat = np.asarray(pc.fill_null(place, -1)).astype(np.int32)
+        starts = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(tokens)))))
+        sent = spark.sparkContext.broadcast((terms.to_pylist(), found.column("idf").to_numpy(), ids, flat, starts))
+        parts.append(sections.mapInArrow(_rank(stats, sent, k, k1, b), "query bigint, chunk_ix bigint, score double"))
     each = parts[0]
     for part in parts[1:]:
         each = each.unionByName(part)
