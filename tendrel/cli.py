@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument("--interval", type=float, default=5.0)
             if command == "draft":
                 c.add_argument("--batch-size", type=int, default=5)
+                c.add_argument("--effort", choices=drafting.EFFORTS, default="high")
                 c.add_argument("--dry-run", action="store_true")
     return p
 
@@ -43,6 +44,10 @@ def main(argv: list[str] | None = None, client: drafting.DraftClient | None = No
         if hasattr(stream, "reconfigure"):
             stream.reconfigure(encoding="utf-8", errors="replace")
     p = parser()
+    argv = list(sys.argv[1:] if argv is None else argv)
+    # flags without a command belong to run
+    if argv[:1] in (["tender"], ["grant"]) and argv[1:] and argv[1].startswith("-") and argv[1] not in ("-h", "--help"):
+        argv.insert(1, "run")
     try:
         args = p.parse_args(argv)
     except SystemExit as e:
@@ -133,9 +138,7 @@ def _draft(args, prompts, client, schema: str, asked, files) -> int:
             print(f"--- batch {row['batch']} ({row['kind']}): {', '.join(row['ids'])}\n{row['prompt']}\n")
         return 0
     try:
-        if client is None:
-            raise drafting.DraftingUnavailable("no draft client is set up; use --dry-run to see the prompts")
-        answers = drafting.generate(prompts, client)
+        answers = drafting.generate(prompts, client, effort=args.effort)
     except drafting.DraftingUnavailable as e:
         print(e, file=sys.stderr)
         return NO_DRAFTING
@@ -145,5 +148,15 @@ def _draft(args, prompts, client, schema: str, asked, files) -> int:
     return 0
 
 
+def tender() -> int:
+    """Console script of the tender product."""
+    return main(["tender", *sys.argv[1:]])
+
+
+def grant() -> int:
+    """Console script of the grant product."""
+    return main(["grant", *sys.argv[1:]])
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -125,6 +125,11 @@ def trimmed_cell(text: Column, limit: int) -> Column:
     return F.when(F.length(escaped) > limit, F.concat(F.rtrim(F.substring(escaped, 1, limit - 1)), F.lit("…"))).otherwise(escaped)
 
 
+def shortened(text: Column, limit: int) -> Column:
+    """Cut to one less than the limit, without blanks at the cut and with three dots behind it."""
+    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("..."))).otherwise(text)
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

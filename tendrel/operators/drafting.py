@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,13 +16,45 @@ GRANT_RESPONSE = "struct<drafts:array<struct<id:string,answer:string,placeholder
 
 
 class DraftingUnavailable(Exception):
-    """A draft client can't answer: it is missing, was refused, or its response can't be read."""
+    """Drafting ended before all batches were answered; kind tells why, the message what to do."""
+
+    def __init__(self, message: str, kind: str = "failed"):
+        super().__init__(message)
+        self.kind = kind
+
+
+class Rejected(Exception):
+    """For clients: the credentials were not accepted."""
+
+
+class RateLimited(Exception):
+    """For clients: too many requests; retry_after in seconds, if the service said so."""
+
+    def __init__(self, retry_after: float | None = None):
+        super().__init__(f"retry after {retry_after}")
+        self.retry_after = retry_after
+
+
+class ServiceError(Exception):
+    """For clients: the service answered with an error status."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(message)
+        self.status = status
+
+
+class Declined(Exception):
+    """For clients: the service would not respond to this prompt."""
+
+
+EFFORTS = ("low", "medium", "high")
 
 
 class DraftClient(Protocol):
-    """Turns a prompt into a response; `kind` tells which instructions apply."""
+    """Turns a prompt into a response (JSON of TENDER_RESPONSE or GRANT_RESPONSE); `kind` tells which instructions apply,
+    `effort` is one of EFFORTS. Failures are told by the exceptions above, ConnectionError and TimeoutError."""
 
-    def draft(self, prompt: str, kind: str) -> str: ...
+    def draft(self, prompt: str, kind: str, effort: str = "high") -> str: ...
 
 
 def draftable(assessed: DataFrame) -> DataFrame:
@@ -29,11 +62,6 @@ def draftable(assessed: DataFrame) -> DataFrame:
     return assessed.where(F.col("verdict").isin("ANSWERED", "WEAK") & F.col("evidence").isNotNull())
 
 
-def relevant(supporting: Column, tokens: Column) -> Column:
-    """Supporting sections that share two distinct tokens with the query."""
-    return F.filter(supporting, lambda c: F.size(F.array_intersect(c["tokens"], tokens)) >= 2)
-
-
 def batched(df: DataFrame, size: int = 5, *within: str, order: str = "line_no") -> DataFrame:
     """Adds batch: consecutive groups of `size` in order, within each of `within`."""
     if size < 1:
@@ -77,26 +105,54 @@ def read_responses(asked: DataFrame, responses: DataFrame, *within: str, schema:
     )
 
 
-def generate(batches: DataFrame, client: DraftClient, progress=None) -> list[tuple[int, str]]:
+def _unavailable(e: Exception) -> DraftingUnavailable:
+    """One kind of error with a remedy for whatever a client throws."""
+    if isinstance(e, Rejected):
+        return DraftingUnavailable("the credentials were rejected; check them and sign in again", "rejected")
+    if isinstance(e, RateLimited):
+        wait = "a minute" if e.retry_after is None else f"{e.retry_after:g} seconds"
+        return DraftingUnavailable(f"too many requests; retry in {wait} or use a smaller batch size", "rate limit")
+    if isinstance(e, ServiceError):
+        return DraftingUnavailable(f"the service reports error {e.status}: {e}", "status")
+    if isinstance(e, Declined):
+        return DraftingUnavailable("the service declined to respond; look through the texts of this batch and retry", "declined")
+    if isinstance(e, (ConnectionError, TimeoutError)):
+        return DraftingUnavailable("the service can't be reached; check the network and retry", "connection")
+    return DraftingUnavailable(str(e), "failed")
+
+
+def _checked(response: str | None) -> str:
+    if not response or not response.strip():
+        raise DraftingUnavailable("the response is empty; a smaller batch may help", "empty")
+    try:
+        found = json.loads(response)
+    except ValueError:
+        found = None
+    if not isinstance(found, dict) or not isinstance(found.get("drafts"), list):
+        raise DraftingUnavailable("the response can't be read; it is no list of drafts in JSON, and may have been cut short", "unreadable")
+    return response
+
+
+def generate(batches: DataFrame, client: DraftClient | None, progress=None, effort: str = "high") -> list[tuple[int, str]]:
     """Sends prompts in order, one at a time, and returns (batch, response); the first failure ends all, so that no
     half-finished set is taken for a whole one."""
+    if client is None:
+        raise DraftingUnavailable("no draft client is set up; use --dry-run to see the prompts", "no client")
     out = []
     for row in batches.orderBy("batch").toLocalIterator():
         if progress:
             progress(row["batch"], row["ids"])
         try:
-            response = client.draft(row["prompt"], row["kind"])
-        except DraftingUnavailable:
-            raise
+            out.append((row["batch"], _checked(client.draft(row["prompt"], row["kind"], effort))))
+        except DraftingUnavailable as e:
+            raise DraftingUnavailable(f"batch {row['batch']}: {e}", e.kind) from None
         except Exception as e:  # whatever a client throws, callers see one kind of error
-            raise DraftingUnavailable(f"batch {row['batch']}: {e}") from e
-        if not response or not response.strip():
-            raise DraftingUnavailable(f"batch {row['batch']}: the response is empty; a smaller batch may help")
-        out.append((row["batch"], response))
+            told = _unavailable(e)
+            raise DraftingUnavailable(f"batch {row['batch']}: {told}", told.kind) from e
     return out
 
 
-#: Own wording: type of question -> (paragraphs, what has to be filled in). {topic} is the question's topic.
+#: Own wording: type of question -> (paragraphs, what has to be filled in). {topic} is the question's topic, {question} its text cut short.
 TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "experience": (("[PLACEHOLDER: organisation] has worked on {topic} for [PLACEHOLDER: years] years.", "Comparable work: [PLACEHOLDER: past projects and their results]."), ("Organisation", "Years", "Past projects")),
     "problem": (("The problem is [PLACEHOLDER: problem]; it affects [PLACEHOLDER: who and how many].", "What exists today falls short because [PLACEHOLDER: reason]."), ("Problem", "Who is affected", "Why today's answers fall short")),
@@ -106,8 +162,16 @@ TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "risk": (("Risks, how likely and grave they are, and what we do: [PLACEHOLDER: a row for each risk].",), ("Risks and what is done about them",)),
     "team": (("[PLACEHOLDER: lead] leads the work with [PLACEHOLDER: members and their skills].",), ("Lead", "Members and skills")),
     "plan": (("The work has [PLACEHOLDER: number] phases: [PLACEHOLDER: dates, activities and results of each].",), ("Phases", "Activities and results")),
-    "budget": (("| Item | Cost | Why |\n|---|---|---|\n| [PLACEHOLDER: item] | [PLACEHOLDER: cost] | [PLACEHOLDER: reason] |",), ("Costs by item", "Reasons", "Total")),
-    "default": (("[PLACEHOLDER: answer on {topic}]", "[PLACEHOLDER: evidence, examples or data]"), ("Answer", "Evidence")),
+    "budget": (
+        (
+            "| Cost | Amount | Why it is needed |\n|---|---|---|\n"
+            + "\n".join(f"| {line} | [PLACEHOLDER: amount] | [PLACEHOLDER: {why}] |" for line, why in (("Staff", "roles and their share of time"), ("Equipment", "what for"), ("Subcontracts", "who does what"), ("Travel", "journeys"), ("Other", "details")))
+            + "\n| Total | [PLACEHOLDER: amount] | |",
+            "[PLACEHOLDER: why these costs are needed and give value for money]",
+        ),
+        ("Staff costs and shares of time", "Equipment and what it is for", "Subcontracts", "Travel", "Total", "Why this is value for money"),
+    ),
+    "default": (("[PLACEHOLDER: answer to: {question}]", "[PLACEHOLDER: evidence, examples or data]"), ("Answer", "Evidence")),
 }
 
 
@@ -129,7 +193,7 @@ def local_drafts(scored: DataFrame) -> DataFrame:
     capped = F.when(words(own) > F.col("word_limit"), F.slice(own, 1, 3)).otherwise(own)
     more = F.lit("[PLACEHOLDER: figures, dates and commitments for this call]")
     written = F.when(evidenced, F.concat(capped, F.when(specific, F.array(more)).otherwise(F.array().cast("array<string>"))))
-    filled = F.transform("paragraphs", lambda p: F.replace(p, F.lit("{topic}"), F.col("topic")))
+    filled = F.transform("paragraphs", lambda p: F.replace(F.replace(p, F.lit("{topic}"), F.col("topic")), F.lit("{question}"), T.shortened(F.col("text"), 100)))
     short = (kind != "budget") & (words(filled) < F.col("word_limit") * 0.5)
     hint = F.array(F.concat(F.lit("[PLACEHOLDER: expand to about "), F.col("word_limit").cast("string"), F.lit(" words]")))
     template = F.concat(filled, F.when(short, hint).otherwise(F.array().cast("array<string>")))

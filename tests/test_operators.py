@@ -130,22 +130,30 @@ def test_batches(spark):
 
 
 class Fake:
-    def __init__(self, fail=False):
-        self.fail = fail
+    def __init__(self, fails=None, says='{"drafts":[]}'):
+        self.fails, self.says, self.asked = fails, says, []
 
-    def draft(self, prompt, kind):
-        if self.fail:
-            raise RuntimeError("refused")
-        return f"{kind}:{len(prompt)}"
+    def draft(self, prompt, kind, effort="high"):
+        self.asked.append((prompt, kind, effort))
+        if self.fails:
+            raise self.fails
+        return self.says
 
 
 def test_clients(spark):
     df = spark.createDataFrame([(1, "tender", ["b"], "p2"), (0, "tender", ["a"], "p1")], "batch int, kind string, ids array<string>, prompt string")
-    seen = []
-    assert drafting.generate(df, Fake(), lambda b, ids: seen.append((b, ids))) == [(0, "tender:2"), (1, "tender:2")]
-    assert seen == [(0, ["a"]), (1, ["b"])]
-    with pytest.raises(drafting.DraftingUnavailable):
-        drafting.generate(df, Fake(True))
+    seen, fake = [], Fake()
+    assert drafting.generate(df, fake, lambda b, ids: seen.append((b, ids)), "low") == [(0, fake.says), (1, fake.says)]
+    assert seen == [(0, ["a"]), (1, ["b"])] and fake.asked == [("p1", "tender", "low"), ("p2", "tender", "low")]
+    cases = [
+        (None, "no client", "--dry-run"), (Fake(drafting.Rejected()), "rejected", "credentials"), (Fake(drafting.RateLimited(7)), "rate limit", "7 seconds"), (Fake(drafting.RateLimited()), "rate limit", "a minute"),
+        (Fake(ConnectionError("x")), "connection", "network"), (Fake(drafting.ServiceError(503, "busy")), "status", "503: busy"), (Fake(drafting.Declined()), "declined", "declined"), (Fake(RuntimeError("odd")), "failed", "odd"),
+        (Fake(says=" "), "empty", "empty"), (Fake(says='{"drafts": [{"id"'), "unreadable", "JSON"), (Fake(says='[]'), "unreadable", "JSON"),
+    ]
+    for client, kind, said in cases:
+        with pytest.raises(drafting.DraftingUnavailable) as e:
+            drafting.generate(df, client)
+        assert e.value.kind == kind and said in str(e.value)
 
 
 def test_every_question_gets_a_local_draft(spark):

@@ -135,7 +135,7 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
 
 class Client:
-    def draft(self, prompt, kind):
+    def draft(self, prompt, kind, effort="high"):
         return '{"drafts":[{"id":"R-001","answer":"Held.","evidence_sufficient":true,"note":""}]}' if kind == "tender" else '{"drafts":[]}'
 
 
