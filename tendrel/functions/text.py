@@ -131,7 +131,7 @@ def shortened(text: Column, limit: int) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+")
+    return F.split(text, r"(?<=[.!?])" + BLANKS)
 
 
 #: Words that name no topic.

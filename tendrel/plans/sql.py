@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tendrel.functions import rules
-from tendrel.functions import text as T
-from tendrel.operators.verdict import ANSWERED_AT, EVIDENCED_AT, WEAK_AT
+from types import SimpleNamespace
+
 from tendrel.plans import fixtures
+from tendrel.plans.sql_values import ANSWERED_AT, EVIDENCED_AT, WEAK_AT, rules
+from tendrel.plans.sql_values import text as T
 
 
 def _q(text: str) -> str:
@@ -50,7 +51,7 @@ _LINES = f"""l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnes
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, {_q(T.LINE_BREAK)}), lambda s: trim(regexp_replace(s, {_q(T.BLANKS)}, ' ', 'g'))), lambda s: s <> '') AS x FROM documents WHERE text IS NOT NULL))"""
 
 
-def _kind(profile: rules.Profile) -> str:
+def _kind(profile: SimpleNamespace) -> str:
     asks = f"len(list_filter(string_split(line, '|'), lambda c: trim(c) LIKE '%?' OR {_has('trim(c)', profile.asks)})) > 0 OR {_has('line', profile.row_anywhere)}"
     inside = " OR " + _has("text", r"\?\s") if profile.question_inside else ""
     grant = profile is rules.GRANT
@@ -61,14 +62,14 @@ def _kind(profile: rules.Profile) -> str:
     return f"CASE WHEN contains(line, ' | ') THEN CASE WHEN ({asks}) AND words >= 4 THEN '{profile.row_kind}' END WHEN (text LIKE '%?'{inside}) AND words >= 4 THEN 'question' WHEN words < 5 THEN NULL {tail} END"
 
 
-def _classified(profile: rules.Profile) -> str:
+def _classified(profile: SimpleNamespace) -> str:
     return f"""{_LINES},
 c AS (SELECT doc_id, line_no, line, {_ref('line', profile.ref)} AS ref, {_rest('line', profile.ref)} AS text FROM l
   WHERE length(line) >= 15 AND NOT {_has('line', rules.CONTENTS_DOTS)} AND NOT {_has('line', rules.PAGE_NUMBER)} AND NOT ({_has('line', rules.CAPITALS)} AND NOT {_has('line', profile.keeps_capitals)})),
 k AS (SELECT *, {_kind(profile)} AS kind FROM (SELECT *, {_words('text')} AS words FROM c))"""
 
 
-def _extracted(profile: rules.Profile) -> str:
+def _extracted(profile: SimpleNamespace) -> str:
     letter = profile.id_format[0]
     return f"""{_classified(profile)},
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) ORDER BY line_no) AS first FROM k WHERE kind IS NOT NULL),
@@ -106,7 +107,7 @@ v AS (SELECT cov.*, {_VERDICT} AS verdict, {_VERDICT} = 'GAP' AND binding AS cri
   CASE WHEN evidence IS NULL THEN '— no matching evidence —' ELSE {_CITE} || CASE WHEN others > 0 THEN ' (+' || others || ' more)' ELSE '' END END AS citation FROM cov LEFT JOIN ct c ON c.chunk_ix = cov.evidence)"""
 
 
-def _found_queries(profile: rules.Profile) -> str:
+def _found_queries(profile: SimpleNamespace) -> str:
     """Extracted requirements of documents as queries, keyed in document order."""
     return f"""{_extracted(profile)}, qs AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS key, *, {_tokens('text')} AS tokens FROM x), {_CHUNKS}, {_SCORED}"""
 
@@ -170,6 +171,17 @@ SELECT v.verdict, coalesce(d.evidence_sufficient, false) AS sufficient, count(*)
         "garble_gate": r"""WITH h AS (SELECT doc_id, left(text, 4000) AS s FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[^\p{L}\t\n\v\f\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,;:()/-]', '', 'g')) AS k FROM h)
 SELECT doc_id, n < 40 OR k / nullif(n, 0) < 0.75 AS garbled, round(k / nullif(n, 0), 6) AS readable FROM c""",
+        "key_sentences": f"""WITH {_ASSESSED}, s AS (SELECT v.key, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS nth, tokens FROM (
+  SELECT v.key, v.tokens, string_split(regexp_replace(c.text, '([.!?]){T.BLANKS[:-1]}+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM v JOIN ct c ON c.chunk_ix = v.evidence) AS v),
+n AS (SELECT key, nth, s, len(list_distinct(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains(tokens, w)))) AS n FROM s),
+r AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY n DESC, nth) - 1 AS place, trim(s) AS sentence FROM n WHERE n >= 2)
+SELECT * FROM r WHERE place < 4""",
+        "prompt_preview": f"""WITH {_ASSESSED}, d AS (SELECT *, (row_number() OVER (PARTITION BY tender_id ORDER BY line_no, id) - 1) // 5 AS batch FROM v WHERE verdict IN ('ANSWERED', 'WEAK') AND evidence IS NOT NULL),
+e AS (SELECT d.tender_id, d.batch, d.key, d.line_no, d.id, d.ref, d.text, row_number() OVER (PARTITION BY d.key ORDER BY r.rank) AS place, {_CITE} AS citation, c.text AS held
+  FROM d JOIN rk r ON r.key = d.key JOIN ct c ON c.chunk_ix = r.chunk_ix WHERE r.rank = 1 OR len(list_intersect(list_distinct(c.tokens), list_distinct(d.tokens))) >= 2),
+b AS (SELECT tender_id, batch, line_no, id, '### ' || id || CASE WHEN coalesce(any_value(ref), '') <> '' THEN ' (clause ' || any_value(ref) || ')' ELSE '' END || chr(10) || 'Requirement: ' || any_value(text) || chr(10) || chr(10) || 'Extracts on file:' || chr(10) ||
+  string_agg('[Extract ' || place || ' - ' || citation || ']' || chr(10) || held, chr(10) || chr(10) ORDER BY place) AS block FROM e GROUP BY tender_id, batch, line_no, id, key)
+SELECT tender_id, batch, 'tender' AS kind, list(id ORDER BY line_no, id) AS ids, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY line_no, id) AS prompt FROM b GROUP BY 1, 2""",
         "citations": f"WITH {_CHUNKS} SELECT chunk_ix, {_CITE} AS citation FROM ct c",
         "reader_files": _rows("name, text, error_kind", [(n, *r) for n, r in fixtures.FILES_READ.items()]),
         "rules_at_edges": _rows("rule, input, result", fixtures.edges_expected()),
