@@ -10,6 +10,8 @@ from tendrel.session import materialise
 
 #: Slices of each source by the seeded hash; the cut of the fractional repetition falls into one of them.
 SLICES = 4096
+#: Cuts of the fractional repetition: each after the first fills what the one before left with shorter texts.
+ROUNDS = 4
 
 
 def water_fill(targets: dict[str, float], sizes: dict[str, float], repeats: dict[str, float], total: float) -> dict[str, float]:
@@ -32,6 +34,24 @@ def water_fill(targets: dict[str, float], sizes: dict[str, float], repeats: dict
     return given
 
 
+def _cut(docs: DataFrame, extra: dict[str, float]) -> DataFrame:
+    """The documents (id, source, tokens, u, slice) of the sources in extra that are no longer than it, with `taken`: whether
+    their running total in the order of u stays within it."""
+    plan = docs.sparkSession.createDataFrame(list(extra.items()), "source string, extra double")
+    short = docs.join(F.broadcast(plan), "source").where("tokens <= extra")
+    slices = short.groupBy("source", "slice").agg(F.sum("tokens").alias("in_slice"))
+    before = F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    marked = short.join(slices.withColumn("before", F.coalesce(before, F.lit(0))), ["source", "slice"])
+    inside = Window.partitionBy("source", "slice").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # slices wholly within the cut are taken; only the one it falls into is taken document by document
+    within = F.col("before") + F.col("in_slice") <= F.col("extra")
+    edge = ~within & (F.col("before") < F.col("extra"))
+    names = ("id", "source", "tokens", "u", "slice")
+    return marked.where(~edge).select(*names, within.alias("taken")).unionByName(
+        marked.where(edge).withColumn("taken", F.col("before") + F.sum("tokens").over(inside) <= F.col("extra")).select(*names, "taken")
+    )
+
+
 def mix_sources(
     df: DataFrame, sources: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, vocabulary: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +65,8 @@ def mix_sources(
 
     Each document is taken floor(given / size) times, and once more if it is in the seeded sample that fills the
     fraction. The sample is cut by running totals over hash slices of a source (SLICES each) and then inside one
-    slice, so no source, however large, is sorted in one task.
+    slice, so no source, however large, is sorted in one task. What is left behind the cut goes to later texts that are
+    no longer than it, by a cut of the same kind, ROUNDS times in all.
     """
     part = [r for r in sources.select("source", "target_share", "max_repeats").collect() if r["source"] is not None and r["target_share"] is not None and r["max_repeats"] is not None]
     targets = {r["source"]: float(r["target_share"]) for r in part}
@@ -58,22 +79,23 @@ def mix_sources(
     docs = materialise(once.withColumn("u", F.xxhash64(F.lit(seed), "source", "id")).withColumn("slice", F.pmod("u", F.lit(SLICES)).cast("int")))
     sizes = {r["source"]: r["size"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("size")).collect()}
     given = water_fill(targets, sizes, repeats, sum(sizes.values()))
-    plan = spark.createDataFrame(
-        [(s, int(given[s] // sizes[s]), float(given[s] - given[s] // sizes[s] * sizes[s])) for s in targets if sizes.get(s)], "source string, whole int, extra double"
-    )
-    slices = docs.groupBy("source", "slice").agg(F.sum("tokens").alias("in_slice"))
-    before = F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    cut = slices.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(plan), "source")
-    inside = Window.partitionBy("source", "slice").orderBy("u", "id").rowsBetween(Window.unboundedPreceding, -1)
-    marked = docs.join(cut, ["source", "slice"])
-    # slices wholly below the cut are taken; the one the cut falls into is taken document by document while half of
-    # the next still fits
-    partial = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("in_slice") > F.col("extra"))
-    edge = marked.where(partial).withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    taken = marked.where(~partial).withColumn("more", (F.col("before") + F.col("in_slice") <= F.col("extra")).cast("int")).select("id", "source", "tokens", "whole", "more").unionByName(
-        edge.withColumn("more", (F.col("at") + F.col("tokens") / 2 <= F.col("extra")).cast("int")).select("id", "source", "tokens", "whole", "more")
-    )
-    mixture = taken.select(F.col("id").alias(key), "source", "tokens", (F.col("whole") + F.col("more")).alias("copies")).where("copies > 0")
+    whole = {s: int(given[s] // sizes[s]) for s in sizes if s in given}
+    left = {s: float(given[s] - whole[s] * sizes[s]) for s in whole}
+    rest, chosen = docs, []
+    for _ in range(ROUNDS):
+        cut = materialise(_cut(rest, {s: x for s, x in left.items() if x >= 1}))
+        chosen.append(cut.where("taken").select("id", "source", "tokens"))
+        for r in cut.where("taken").groupBy("source").agg(F.sum("tokens").alias("t")).collect():
+            left[r["source"]] -= r["t"]
+        rest = cut.where("not taken").drop("taken")
+        if all(x < 1 for x in left.values()):
+            break
+    more = chosen[0]
+    for part in chosen[1:]:
+        more = more.unionByName(part)
+    plan = spark.createDataFrame(list(whole.items()), "source string, whole int")
+    taken = docs.join(more.select("id", "source", F.lit(1).alias("more")), ["id", "source"], "left").join(F.broadcast(plan), "source")
+    mixture = taken.select(F.col("id").alias(key), "source", "tokens", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("copies")).where("copies > 0")
     got = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("given"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     all_given = got.agg(F.sum("given").alias("all"))
     listed = spark.createDataFrame([(s, targets[s], int(repeats[s]), int(sizes.get(s, 0))) for s in targets], "source string, target_share double, max_repeats int, size bigint")

@@ -152,6 +152,8 @@ def _char_cost(p: str, c: str, n: str, before: str, after: str) -> float:
             return 2.5
         if n.isdigit():
             return 2.5
+        if script == "LATIN" and letter_p and letter_n and not p.isascii() and not n.isascii():
+            return cost + 1.25  # three in a row are rather one sign's bytes
         if not letter_p and not letter_n:
             if n in _JOINERS or p in _JOINERS:
                 return cost
@@ -171,7 +173,7 @@ def _char_cost(p: str, c: str, n: str, before: str, after: str) -> float:
     if c in "–—…":
         return 1.5 if c == "—" and p == " " and letter_n else 0.1
     if c == "°":
-        return 0.0 if (p.isdigit() or p == " " and before.isdigit()) and n in "CFcf .,;" or p.isdigit() else 2.0
+        return 0.0 if p.isdigit() or p.isspace() and before.isdigit() and n in "CFcf .,;" else 0.5 if p.isspace() and n and n in "CF" else 2.0
     if c in "±×÷≤≥≈≠−":
         return 0.1 if not letter_p and not letter_n and not (p and not p.isascii()) else 2.5
     if c in "½¼¾§":
@@ -221,10 +223,13 @@ def cost(text: str) -> float:
 BLIND = 1.0
 #: A passage counts as garbled if its cost falls by this much.
 LEAST_GAIN = 1.0
+#: States opened for a passage before it is cut in two, operations in a row, and how much worse than the passage a state on
+#: the way may be (a factor and a sum).
+STATES, STEPS, WORSE = 40, 4, (1.5, 4.0)
 
 
-def restore(passage: str, most: int = 40) -> tuple[str, float, float, tuple[str, ...]]:
-    """(cheapest reachable text, cost before, cost after, operations): best-first over OPERATIONS.
+def restore(passage: str, most: int = STATES) -> tuple[str, float, float, tuple[str, ...], bool]:
+    """(cheapest reachable text, cost before, cost after, operations, whether states were left): best-first over OPERATIONS.
 
     The heap is ordered by cost plus a little for each step, so the plainest text reached by the fewest operations
     comes first; visited states are kept by hash. It ends at a text in which nothing is implausible, when the heap is
@@ -237,7 +242,7 @@ def restore(passage: str, most: int = 40) -> tuple[str, float, float, tuple[str,
     while heap and opened < most:
         rank, _, state, path, steps = heapq.heappop(heap)
         opened += 1
-        if len(path) >= 4:
+        if len(path) >= STEPS:
             continue
         for name, operation in OPERATIONS.items():
             blind = name.endswith(">cp1252")
@@ -252,13 +257,30 @@ def restore(passage: str, most: int = 40) -> tuple[str, float, float, tuple[str,
             if price < best[0]:
                 best = (price, after, (*path, name))
                 if best[0] - paid <= 0.3 * len(_BEYOND.findall(after)):
-                    return after, before, price, best[2]
-            if price < 1.5 * before + 4:  # a step may look worse before the next puts it right
+                    return after, before, price, best[2], False
+            if price < WORSE[0] * before + WORSE[1]:  # a step may look worse before the next puts it right
                 serial += 1
                 # raised leads look as bad as lowered ones until they are decoded: such a state keeps its parent's place
                 place = rank if name == "raise" else price + 0.5 * sum(x != "raise" for x in path)
                 heapq.heappush(heap, (place, serial, after, (*path, name), paid))
-    return best[1], before, best[0], best[2]
+    return best[1], before, best[0], best[2], bool(heap)
+
+
+def restore_in_parts(passage: str, most: int = STATES) -> tuple[str, float, float, tuple[str, ...], bool]:
+    """restore(), and where it ends with states left, each half of the passage by itself, cut at a blank between its
+    doubtful characters: faults of several kinds come apart, and the search grows with the passage and no faster."""
+    found = restore(passage, most)
+    if not found[4]:
+        return found
+    spots = [m.start() for m in SUSPECT.finditer(passage)]
+    middle = (spots[len(spots) // 2 - 1] + spots[len(spots) // 2]) // 2 if len(spots) > 1 else 0
+    blanks = [m.end() for m in re.finditer(r"\s+", passage) if spots and spots[0] < m.end() <= spots[-1]]
+    if not blanks:
+        return found
+    cut = min(blanks, key=lambda at: abs(at - middle))
+    halves = [restore_in_parts(part, most) for part in (passage[:cut], passage[cut:])]
+    apart = ("".join(h[0] for h in halves), found[1], sum(h[2] for h in halves), tuple(dict.fromkeys(o for h in halves for o in h[3])), any(h[4] for h in halves))
+    return apart if apart[2] < found[2] else (*found[:4], apart[4])
 
 
 _PASSAGE = re.compile(r"[^\n.!?]*(?:[.!?](?!\s)[^\n.!?]*)*(?:[.!?]+\s*|\n+|$)")
@@ -267,14 +289,16 @@ LOST = re.compile("�|[\x80-\x84\x86-\x9f]|â€|[ÃÂ][\xa0-\xbf]")
 
 
 def examine(text: str) -> tuple[bool, str, bool, str]:
-    """(garbled, restored text, whether nothing implausible is left, operations used) of one text."""
+    """(garbled, restored text, whether it is complete, operations used) of one text: complete if no character was lost for
+    good and no search ended with states left."""
     if not SUSPECT.search(text) and not _ESCAPED.search(text):
         return False, text, True, ""
     out, garbled, clean, used = [], False, True, {}
     for m in _PASSAGE.finditer(text):
         passage = m.group()
         if passage and (SUSPECT.search(passage) or _ESCAPED.search(passage)):
-            fixed, before, after, path = restore(passage)
+            fixed, before, after, path, left = restore_in_parts(passage)
+            clean = clean and not left
             if before - after >= LEAST_GAIN:
                 garbled, passage = True, fixed
                 used.update(dict.fromkeys(path))
@@ -287,7 +311,7 @@ def examine(text: str) -> tuple[bool, str, bool, str]:
 def garbled_texts(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     """(keys, restored, complete, operations) of every row whose text holds a wrongly decoded passage.
 
-    complete is false where characters were lost for good; the rest of such a text is restored all the same. Null
+    complete is false where characters were lost for good or a search ended before all its states were opened; the rest of such a text is restored all the same. Null
     texts and texts of ASCII only give no row; null keys are kept; repeated rows (equal keys) come once; other columns
     are ignored. The result doesn't depend on other rows, so nothing is shuffled before the few rows found.
     """

@@ -13,8 +13,10 @@ from tendrel.session import materialise
 
 #: A bin this full is finished where it is made.
 FULL = 0.995
-#: Most bins one task packs in a round; a round has as many tasks as that takes.
+#: Most bins one task packs in a round; a round has as many tasks as that takes, whatever the number of items.
 AT_ONCE = 50_000
+#: A round that frees fewer than one bin in so many is the last.
+WORTH = 1000
 
 _ITEM = pa.struct([("id", pa.int64()), ("part", pa.int32()), ("size", pa.int32())])
 
@@ -79,32 +81,33 @@ def _pack(capacity: int):
 _BINS = "used int, items array<struct<id:bigint,part:int,size:int>>, merged int"
 
 
-def pack(items: DataFrame, capacity: int, full: float = FULL, at_once: int = AT_ONCE, rounds: int = 6) -> DataFrame:
+def pack(items: DataFrame, capacity: int, full: float = FULL, at_once: int = AT_ONCE) -> DataFrame:
     """(used, items) of bins that hold every row (id, part, size) of items once; sizes are 1 to capacity.
 
     Hierarchical residual packing: each partition is packed by best fit; bins that are full to `full` are done, the
     others go on as items of their own into a round with a few partitions only, filled at random, and so on up the tree
-    until one partition is left or a round merges nothing. No task ever gets more than about at_once bins, so if more
-    than that stay underfull (say, all items over half the capacity) they stay as they are.
+    until one partition has been packed by itself or a round frees fewer than one bin in WORTH. No task ever gets more
+    than about at_once bins, so if more than that stay underfull (say, all items over half the capacity) they stay as
+    they are once packing them in other company no longer helps.
     """
     first = items.where((F.col("size") > 0) & (F.col("size") <= capacity)).select(F.col("size").cast("int").alias("used"), F.array(F.struct(F.col("id").cast("bigint").alias("id"), F.col("part").cast("int").alias("part"), F.col("size").cast("int").alias("size"))).alias("items"))
     done: DataFrame | None = None
     state = materialise(first.mapInArrow(_pack(capacity), _BINS))
     threshold = max(1, int(capacity * full))
-    before = None
-    for _ in range(rounds):
+    before: tuple[int, int] | None = None
+    while True:
         finished = state.where(F.col("used") >= threshold).select("used", "items")
         done = finished if done is None else done.unionByName(finished)
         rest = state.where(F.col("used") < threshold).select("used", "items")
         count, room = rest.agg(F.count("*"), F.coalesce(F.sum(capacity - F.col("used")), F.lit(0))).first()
         tasks = -(-count // at_once)
-        # less than one bin's room in all can't free a bin; the same number of bins in one task again can't either
-        if count <= 1 or room < capacity or before == (count, 1):
+        # less than one bin's room in all can't free a bin, nor can one task that had these bins before
+        last = count <= 1 or room < capacity or before is not None and (before[1] == 1 or tasks > 1 and (before[0] - count) * WORTH < before[0])
+        if last:
             return done.unionByName(rest)
         before = (count, tasks)
         spread = rest.coalesce(1) if tasks == 1 else rest.repartition(tasks)
         state = materialise(spread.mapInArrow(_pack(capacity), _BINS))
-    return done.unionByName(state.select("used", "items"))
 
 
 def fill_containers(df: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

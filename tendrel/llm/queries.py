@@ -79,8 +79,10 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_ix, rep): the least chunk_ix with the same text; with it p6_found's links stand for all members' pairs."""
-    return neardup.text_classes(table(spark, sf_dir, "chunks"), "chunk_ix", "text").withColumnRenamed("id", "chunk_ix")
+    """(chunk_ix, rep, copies): the least chunk_ix with the same text and how many have it; with it p6_found's links stand
+    for all members' pairs."""
+    classes = neardup.text_classes(table(spark, sf_dir, "chunks"), "chunk_ix", "text")
+    return classes.join(classes.groupBy("rep").agg(F.count("*").alias("copies")), "rep").select(F.col("id").alias("chunk_ix"), "rep", "copies")
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:

@@ -57,6 +57,40 @@ def test_lost_characters_are_found_but_not_complete():
     assert found and not clean and "“calm" in fixed
 
 
+def test_faults_of_several_kinds_in_one_passage():
+    """A search that ends with states left goes on in parts, and says so where a part does too."""
+    right = ["The café at Krêmôl", "the crèche at Zürich", "a résumé of Señora Brøn’s", "the fiancée of Jörg"]
+    parts = [right[0].encode().decode("cp1252"), right[1].encode().decode("mac_roman"), right[2].encode().decode("cp437"), right[3].encode("cp1252").decode("mac_roman")]
+    passage = ", ".join(parts)
+    found, fixed, complete, _ = m.examine(passage)
+    assert found and complete and fixed == ", ".join(right)
+    *_, left = m.restore(passage, 1)
+    assert left
+    fixed, _, _, _, left = m.restore_in_parts(passage, 3)
+    assert sum(r in fixed for r in right) >= 3
+
+
+@pytest.mark.parametrize("wrong, least", [("cp1252", 0.97), ("latin-1", 0.97), ("mac_roman", 0.97), ("cp437", 0.97), ("cp850", 0.97), ("cp1250", 0.97), ("koi8_r", 0.97)])
+def test_share_restored(wrong, least):
+    """Sentences with foreign letters and signs read wrongly: the share that comes back exactly."""
+    import random
+
+    r = random.Random(wrong)
+    words = "café résumé Zürich señora Brøn Łódź naïve façade Škoda Krêmôl crèche 12_°C £450 €30 “calm” – team’s plan desk cost".replace("_", "\xa0").split(" ")
+    sentences = [" ".join(["The site at"] + [r.choice(words) for _ in range(6)] + ["was kept."]) for _ in range(120)]
+    table = {}
+    for byte in range(0x80, 0x100):
+        try:
+            table[byte] = bytes([byte]).decode(wrong)
+        except UnicodeDecodeError:
+            table[byte] = chr(byte)
+    garbled = ["".join(chr(b) if b < 0x80 else table[b] for b in s.encode()) for s in sentences]
+    pairs = [(s, g) for s, g in zip(sentences, garbled) if s != g and "�" not in g]
+    found = [m.examine(g) for _, g in pairs]
+    assert len(pairs) > 60 and all(f[0] for f in found)
+    assert sum(f[1] == s for f, (s, _) in zip(found, pairs)) >= least * len(pairs)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=80))
 def test_any_text_passes(text):
