@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tendrel.llm.common import _powers, _BASE, _INVERSE, distinct_pairs, mix, passes, shingle_hashes, sieve, string_bytes, whole, word_hashes
 from tendrel.llm.language import FUNCTION_WORDS
-from tendrel.llm.neardup import _chains, _fold, _slots
+from tendrel.llm.neardup import CACHED, _chains, _fold, _slots
 from tendrel.session import materialise
 
 #: Near-copies: five words, and 0.8 of the shorter text's runs held by the other, found with BANDS chains of ROWS segments.
@@ -167,18 +167,19 @@ def _closing_stats(asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = whole(b.column(0))
-            owner, triple, pair, word, closes = closings(*string_bytes(col))
             # an open end in a sentence or list may be a cut: its last word is no occurrence, or copies of a cut text would
             # vouch for each other; other last words are occurrences and ends
             bare, tails = _tails(pc.fill_null(col, ""))
             may_be_cut = np.array([(e := ending(t)[0]) == CUT or e == OPEN and _form(bare, i, t) in (SENTENCE, ITEM) for i, t in enumerate(tails.to_pylist())], bool)
-            last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
-            counts = ~(last & may_be_cut[owner])
-            keys, ends = [], []
-            for key in (triple, pair, word):
-                ok = counts & passes(asked.value, key)
-                keys.append(key[ok])
-                ends.append(closes[ok])
+            keys, ends = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            for i in range(0, len(col), CACHED):
+                owner, *levels, closes = closings(*string_bytes(col[i : i + CACHED]))
+                last = np.concatenate((owner[1:] != owner[:-1], [True])) if len(owner) else np.zeros(0, bool)
+                counts = ~(last & may_be_cut[i : i + CACHED][owner])
+                for key in levels:
+                    ok = counts & passes(asked.value, key)
+                    keys.append(key[ok])
+                    ends.append(closes[ok])
             value, back, total = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
             ended = np.bincount(back, weights=np.concatenate(ends), minlength=len(value)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ended), pa.array(total.astype(np.int64))], ["k", "ends", "total"])
@@ -271,8 +272,8 @@ def _sought_beginnings(sought):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                part = b[i : i + 1000]
+            for i in range(0, b.num_rows, CACHED):
+                part = b[i : i + CACHED]
                 text, key = beginnings(whole(part.column(1)))
                 ok = passes(sought.value, key)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[ok])), pa.array(key[ok].view(np.int64))], ["same", "k"])

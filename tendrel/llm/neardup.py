@@ -80,7 +80,9 @@ SIZE_STEPS = 16
 
 
 #: Texts worked on at once, so that what a batch needs stays small; texts counted together for hot shingles.
-SLICE, COUNTED = 2000, 8000
+SLICE, COUNTED = 500, 8000
+#: Texts hashed at once: what a step needs of them stays in a core's cache.
+CACHED = 250
 
 
 def _fold(col: pa.Array) -> pa.Array:
@@ -90,7 +92,7 @@ def _fold(col: pa.Array) -> pa.Array:
     return col
 
 
-#: Bits of a run's hash; the owner within a slice takes the other 11.
+#: Bits of a run's hash; the owner within CACHED texts takes the other 11.
 _HASH = np.uint64(53)
 
 
@@ -99,8 +101,8 @@ def _sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     Owner and hash share one 64-bit number in a slice, so that sorting it sorts by both."""
     hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(col), SLICE):
-        h, owner = shingle_hashes(*word_hashes(*string_bytes(_fold(col[i : i + SLICE]))), n)
+    for i in range(0, len(col), CACHED):
+        h, owner = shingle_hashes(*word_hashes(*string_bytes(_fold(col[i : i + CACHED]))), n)
         both = np.sort(owner.astype(np.uint64) << _HASH | h >> (np.uint64(64) - _HASH))
         both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
         hashes.append(both & ((np.uint64(1) << _HASH) - np.uint64(1)))
