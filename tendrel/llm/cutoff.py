@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -221,10 +222,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms.append(_form(bare, i, t) if k == OPEN else None)
             blanks.append(k == OPEN and t.endswith(" "))
             sought.append(k == OPEN or k == CLOSED and doubtful(t))
-        owner, triple, pair, word, _ = closings(*string_bytes(tails))
+        opened = np.flatnonzero(np.array(kinds) == OPEN) if kinds else np.zeros(0, np.int64)
+        owner, triple, pair, word, _ = closings(*string_bytes(tails.take(pa.array(opened))))
         last = np.flatnonzero(np.concatenate((owner[1:] != owner[:-1], [True]))) if len(owner) else np.zeros(0, int)
         ends_in = np.zeros((3, len(col)), np.uint64)
-        ends_in[:, owner[last]] = triple[last], pair[last], word[last]
+        ends_in[:, opened[owner[last]]] = triple[last], pair[last], word[last]
         few = np.flatnonzero(np.array(sought, bool)) if sought else np.zeros(0, np.int64)
         h, own = _runs(col.take(pa.array(few)))
         who, slots = _slots(h, own, len(few), BANDS * ROWS, 9)
@@ -296,9 +298,9 @@ def _only(needed):
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def continues(text: str, other: str) -> bool | None:
-    """Whether other goes on inside a sentence where text ends (True), ends a sentence there (False), or neither can be
-    told (None). The texts must be near-copies; the last words of text are looked up in other, the latest place first."""
+@lru_cache(maxsize=4096)
+def _end_of(text: str) -> tuple[re.Pattern, str, str] | None:
+    """(pattern of the last eight words, the last of which may be cut; that word; what stands behind it) of a text."""
     t = text.rstrip(_SPACE)
     if m := _MARK.search(t[-80:]):
         t = t[: len(t) - len(m.group())].rstrip(_SPACE)
@@ -308,9 +310,17 @@ def continues(text: str, other: str) -> bool | None:
         reach *= 2
     if len(words) < 8:
         return None
-    # the last word may be cut: seven words before it must agree, and it must be the beginning of the other's word
     tail, last = [w.group().lower() for w in words[-8:-1]], words[-1].group().lower()
     pattern = re.compile(r"(?<![^\W_])" + r"[\W_]+".join(map(re.escape, tail)) + r"[\W_]+(" + re.escape(last) + r"[^\W_]*)", re.I)
+    return pattern, last, t[words[-1].end() :].rstrip(_SPACE)
+
+
+def continues(text: str, other: str) -> bool | None:
+    """Whether other goes on inside a sentence where text ends (True), ends a sentence there (False), or neither can be
+    told (None). The texts must be near-copies; the last words of text are looked up in other, the latest place first."""
+    if (end := _end_of(text)) is None:
+        return None
+    pattern, last, own_rest = end
     match = None
     for match in pattern.finditer(other):
         pass
@@ -319,7 +329,6 @@ def continues(text: str, other: str) -> bool | None:
     if match.end() - match.start(1) > len(last):
         return True
     rest = other[match.end() :]
-    own_rest = t[words[-1].end() :].rstrip(_SPACE)
     if own_rest and rest.startswith(own_rest):
         rest = rest[len(own_rest) :]
     gap = re.match(r"[^\w]*", rest).group()
