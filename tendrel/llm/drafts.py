@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,12 +98,17 @@ class SuffixAutomaton:
         return out
 
 
+@lru_cache(maxsize=64)
+def _plain(requirement: str) -> str:
+    return clean(requirement)[0]
+
+
 def is_copied(answer: str, requirement: str | None) -> bool:
     """Nothing but the requirement's words: what no run shared with it covers is a filler, a few function words or
     words changed on the spot (one for one inside shared runs)."""
     if not requirement:
         return False
-    plain = clean(requirement)[0]
+    plain = _plain(requirement)
     asked, said = words(plain), words(answer)
     if len(said) < 4 or not asked:
         return False
@@ -111,8 +117,10 @@ def is_copied(answer: str, requirement: str | None) -> bool:
     said = _FILLS.sub(lambda m: m.group() if m.group() in asked else " ", said).split()
     if not said:
         return False
-    covered = SuffixAutomaton(asked).covered(said, 2 if len(asked) < 8 else 3)
     known = set(asked)
+    if 2 * sum(w in known for w in said) < len(said):
+        return False  # fewer can't be covered than are known at all
+    covered = SuffixAutomaton(asked).covered(said, 2 if len(asked) < 8 else 3)
     own = loose = 0
     for i, hit in enumerate(covered):
         if hit:
@@ -131,7 +139,7 @@ def is_copied(answer: str, requirement: str | None) -> bool:
 
 def other_language(answer: str, requirement: str | None) -> bool:
     """Most of the answer's words stand in sentences of another language than the requirement's own."""
-    own = language(requirement and clean(requirement)[0]) or language(requirement, 0.5)
+    own = language(requirement and _plain(requirement)) or language(requirement, 0.5)
     if not own:
         return False
     whole = votes(answer)

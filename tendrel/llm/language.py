@@ -31,18 +31,29 @@ _LETTERS = {"ł": "pl", "ą": "pl", "ę": "pl", "ż": "pl", "ś": "pl", "ć": "p
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _begins(text: str, start: int) -> bool:
+    """Whether a sentence, line or the like begins at start."""
+    at = start - 1
+    while at >= 0 and text[at].isspace():
+        at -= 1
+    return at < 0 or text[at] in ".!?:|\"“¿"
+
+
 def votes(text: str) -> dict[str, float]:
-    """Votes by language; words with a capital (names) only vote at the start of the text."""
+    """Votes by language; words with a capital (names) only vote at the start of the text or a sentence."""
     out: dict[str, float] = {}
     for m in _WORD.finditer(text):
-        word = m.group()
-        if word[0].isupper() and m.start() and text[: m.start()].rstrip()[-1:] not in ".!?:|\"“¿" and not (len(word) > 1 and word.isupper()):
+        found = m.group()
+        word = found.lower()
+        own = _VOTES.get(word)
+        if own is None and word.isascii():
+            continue
+        if found[0].isupper() and m.start() and not _begins(text, m.start()) and not (len(found) > 1 and found.isupper()):
             continue
-        word = word.lower()
-        for lang, vote in _VOTES.get(word, {}).items():
+        for lang, vote in (own or {}).items():
             out[lang] = out.get(lang, 0.0) + vote
-        for c in set(word) & _LETTERS.keys():
-            if not m.group()[0].isupper():
+        if not word.isascii() and not found[0].isupper():
+            for c in set(word) & _LETTERS.keys():
                 out[_LETTERS[c]] = out.get(_LETTERS[c], 0.0) + 0.5
     return out
 
