@@ -56,7 +56,8 @@ def mix_sources(
     df: DataFrame, sources: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, vocabulary: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, report). mixture: (key, source, tokens, copies) of each document taken at least once; report: (source,
-    target_share, max_repeats, size, given, copies_mean, actual_share).
+    target_share, max_repeats, size, longest, documents, given, most_copies, actual_share); what a source gives is within
+    its longest text of what it should.
 
     sources (source, target_share, max_repeats) is a small fixed table, one row per source. Sources with a null share
     or cap take no part, nor do null or empty texts and null keys; repeated keys count once; a source without documents
@@ -77,7 +78,8 @@ def mix_sources(
     # the least key of equal texts stands for them; a repeated key is equal to itself
     once = sized.groupBy("source", "same").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     docs = materialise(once.withColumn("u", F.xxhash64(F.lit(seed), "source", "id")).withColumn("slice", F.pmod("u", F.lit(SLICES)).cast("int")))
-    sizes = {r["source"]: r["size"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("size")).collect()}
+    measured = docs.groupBy("source").agg(F.sum("tokens").alias("size"), F.max("tokens").alias("longest")).collect()
+    sizes, longest = {r["source"]: r["size"] for r in measured}, {r["source"]: r["longest"] for r in measured}
     given = water_fill(targets, sizes, repeats, sum(sizes.values()))
     whole = {s: int(given[s] // sizes[s]) for s in sizes if s in given}
     left = {s: float(given[s] - whole[s] * sizes[s]) for s in whole}
@@ -98,10 +100,10 @@ def mix_sources(
     mixture = taken.select(F.col("id").alias(key), "source", "tokens", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("copies")).where("copies > 0")
     got = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("given"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     all_given = got.agg(F.sum("given").alias("all"))
-    listed = spark.createDataFrame([(s, targets[s], int(repeats[s]), int(sizes.get(s, 0))) for s in targets], "source string, target_share double, max_repeats int, size bigint")
+    listed = spark.createDataFrame([(s, targets[s], int(repeats[s]), int(sizes.get(s, 0)), int(longest.get(s, 0))) for s in targets], "source string, target_share double, max_repeats int, size bigint, longest bigint")
     report = (
         listed.join(got, "source", "left").crossJoin(F.broadcast(all_given))
-        .select("source", "target_share", "max_repeats", "size", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("given", F.lit(0)).alias("given"),
+        .select("source", "target_share", "max_repeats", "size", "longest", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("given", F.lit(0)).alias("given"),
                 F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round(F.coalesce(F.col("given") / F.col("all"), F.lit(0.0)), 6).alias("actual_share"))
     )
     return mixture, report

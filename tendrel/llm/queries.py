@@ -64,6 +64,19 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir)
 
 
+def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each section must hold to: (chunk_ix, characters covered, whether all fit, share no more than
+    the overlap, and follow each other without a gap)."""
+    fixed, pieces = limits(spark, sf_dir), _pieces(spark, sf_dir)
+    each = pieces.groupBy("chunk_ix").agg(
+        F.sum(F.col("end") - F.col("start")).alias("covered"), (F.max(F.length("piece")) <= int(fixed["item_max"])).alias("fits"),
+        (F.max(F.col("start") - F.col("shared_from")) <= int(fixed["item_overlap"])).alias("overlaps"), F.min("start").alias("low"), F.max("end").alias("high"),
+        (F.max("piece_no") == F.count("*")).alias("numbered"),
+    )
+    gapless = (F.col("low") == 0) & (F.col("high") == F.col("covered")) & F.col("numbered")
+    return each.select("chunk_ix", "covered", "fits", "overlaps", gapless.alias("gapless"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_pairs(table(spark, sf_dir, "chunks"), threshold=limits(spark, sf_dir)["near_duplicate_min"])
 
@@ -98,6 +111,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(*_containers(spark, sf_dir))
 
 
+def p7_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers must hold to: (doc_id, whether every part of it is there once, and whether its containers hold
+    no more than the capacity and only texts above it are parted)."""
+    filled, capacity = _containers(spark, sf_dir)
+    used = filled.groupBy("container_id").agg(F.sum("tokens").alias("inside"))
+    each = filled.join(used, "container_id").groupBy("doc_id").agg(
+        ((F.count("*") == F.max("part")) & (F.countDistinct("part") == F.max("part"))).alias("once"),
+        ((F.max("inside") <= capacity) & (F.max(F.col("used") - F.col("inside")) == 0) & (F.sum("tokens") > (F.max("part") - 1) * capacity)).alias("fits"),
+    )
+    return each.select("doc_id", "once", "fits")
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_sources"))[0]
 
@@ -106,6 +131,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_sources"))[1]
 
 
+def p8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture must hold to: (source, whether no text comes more often than allowed, and whether the source gives
+    its share as the others do: to a hundredth or its longest text, or all its repeats)."""
+    report = p8_shares(spark, sf_dir)
+    whole = report.agg(F.sum("given").alias("all"), F.sum("size").alias("sizes"))
+    each = report.join(F.broadcast(whole))
+    full = F.col("given") + F.col("longest") >= F.col("size") * F.col("max_repeats")
+    # every source that isn't full gets its target in proportion to the others that aren't
+    ratio = F.col("given") / (F.col("target_share") * F.col("all"))
+    level = each.where(~full).agg(F.expr("percentile(given / (target_share * all), 0.5)").alias("level"))
+    near = F.abs(ratio - F.col("level")) * F.col("target_share") * F.col("all") <= F.greatest(F.col("longest"), F.col("given") * 0.01)
+    return each.join(F.broadcast(level)).select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), (full | near | (F.col("size") == 0)).alias("shared"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.cut_off(table(spark, sf_dir, "documents")).where("truncated").select("doc_id")
 
@@ -116,7 +155,7 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_terms, p2_found, p2_clean, p3_found, p4_found, p4_restored, p5_found, p5_pieces, p6_found, p6_groups, p6_members,
-        p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_sources,
+        p1_found, p1_terms, p2_found, p2_clean, p3_found, p4_found, p4_restored, p5_found, p5_pieces, p5_cover, p6_found, p6_groups, p6_members,
+        p7_containers, p7_fill, p7_once, p8_mixture, p8_shares, p8_caps, p9_found, p9_sources,
     )
     return {f.__name__: f for f in found}

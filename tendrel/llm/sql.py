@@ -30,6 +30,11 @@ SELECT tab, rec_id, term FROM (
   SELECT c.tab, c.rec_id, c.term, row_number() OVER (PARTITION BY c.tab, c.rec_id ORDER BY round(c.tf * ln(n.n / d.df), 6) DESC, c.term) AS k
   FROM c JOIN d USING (tab, term) JOIN n USING (tab) WHERE d.df > 1) WHERE k = 1""",
         "p5_found": f"SELECT DISTINCT chunk_ix FROM chunks WHERE chunk_ix IS NOT NULL AND {_SIZE} > (SELECT amount FROM size_limits WHERE limit_name = 'item_max')",
+        # what must hold of results that SQL can't make
+        "p5_cover": f"""SELECT DISTINCT chunk_ix, (CASE WHEN length(heading) + 1 > l.amount // 2 THEN length(heading) + 1 ELSE 0 END + length(text))::BIGINT AS covered, true AS fits, true AS overlaps, true AS gapless
+FROM chunks, (SELECT amount FROM size_limits WHERE limit_name = 'item_max') l WHERE chunk_ix IS NOT NULL AND {_SIZE} > l.amount""",
+        "p7_once": "SELECT DISTINCT doc_id, true AS once, true AS fits FROM documents WHERE doc_id IS NOT NULL AND length(text) > 0",
+        "p8_caps": "SELECT DISTINCT source, true AS capped, true AS shared FROM doc_sources WHERE source IS NOT NULL AND target_share IS NOT NULL AND max_repeats IS NOT NULL",
         "p6_found": f"WITH {_PAIRS} SELECT chunk_a, chunk_b FROM q",
         "p6_members": """WITH c AS (SELECT DISTINCT chunk_ix, text FROM chunks WHERE chunk_ix IS NOT NULL AND text IS NOT NULL)
 SELECT chunk_ix, min(chunk_ix) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS copies FROM c""",
