@@ -51,7 +51,11 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
 
 
 def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
-    """Best k sections of a stretch of sections for each query of a block: (query, chunk_ix, score)."""
+    """Best k of a task's sections for each query of a block: (query, chunk_ix, score).
+
+    Sections are ranked in stretches; what is kept from one to the next is k rows per query. A query whose terms can't add
+    up to its k-th best in a stretch, by the greatest weight of each there, passes it over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf, ids, flat, starts = block.value
@@ -59,6 +63,7 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             return
         vocabulary = pa.array(terms, pa.string())
         avg = stats[1]
+        kept_score, kept_ix = np.zeros((len(ids), k)), np.zeros((len(ids), k), np.int64)
         for batch in (whole_batch[i : i + SECTIONS] for whole_batch in batches for i in range(0, whole_batch.num_rows, SECTIONS)):
             tokens = batch.column(1)
             ix = np.asarray(batch.column(0))
@@ -79,23 +84,30 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             lists = [(at[i:j], weight[i:j]) if j > i else None for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
             here = np.flatnonzero(flat >= 0)
             here = here[np.diff(first)[flat[here]] > 0]
-            bounds = np.searchsorted(here, starts).tolist()
-            wanted = flat[here].tolist()
-            out_q, out_c, out_s = [], [], []
+            bounds = np.searchsorted(here, starts)
+            wanted = flat[here]
+            ix = ix[order]
+            most = np.zeros(len(terms))
+            np.maximum.at(most, term, weight)
+            reach = np.concatenate(([0.0], np.cumsum(most[wanted])))
+            # sums of floats may differ in their last places; a stretch is only passed over if it is clearly below
+            near = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(reach[bounds]) * (1 + 1e-9) + 1e-6 >= kept_score[:, -1]))
+            bounds, wanted = bounds.tolist(), wanted.tolist()
             score = np.zeros(len(ix))
-            for q in np.flatnonzero(np.diff(bounds)).tolist():
+            for q in near.tolist():
                 for t in wanted[bounds[q] : bounds[q + 1]]:  # in token order, repeats too: sums come out the same everywhere
                     places, own = lists[t]
                     score[places] += own
                 # sections are in the order of their index, so that of equal scores the higher index comes first
                 best = _top(score, k)
-                out_q.extend([q] * len(best))
-                out_c.append(best)
-                out_s.append(score[best])
+                if len(best):
+                    scores, found_ix = np.concatenate((kept_score[q], score[best])), np.concatenate((kept_ix[q], ix[best]))
+                    first_k = np.lexsort((-found_ix, -scores))[:k]
+                    kept_score[q], kept_ix[q] = scores[first_k], found_ix[first_k]
                 score[:] = 0
-            if out_c:
-                c = np.concatenate(out_c)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(out_q, np.int64)]), pa.array(ix[order][c]), pa.array(np.concatenate(out_s))], ["query", "chunk_ix", "score"])
+        held = kept_score > 0
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(kept_ix[held]), pa.array(kept_score[held])], ["query", "chunk_ix", "score"])
 
     return run
 
@@ -104,8 +116,8 @@ def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int
     """(key, chunk_ix, score, rank) of the k best sections for each query (key bigint, tokens), by BM25 over the occurrences of
     its tokens; of equal scores the higher index ranks first, and scores of 0 don't rank.
 
-    Each task ranks stretches of sections for a block of queries and gives at most k rows per query that any of them
-    matches, so what is shuffled is k rows per query and stretch, not a row for every shared term. Queries are a stated
+    Each task ranks its sections for a block of queries and gives at most k rows per query that any of them matches, so
+    what is shuffled is k rows per query and task, not a row for every shared term. Queries are a stated
     set sent out in blocks of about `block` tokens (one query more at most); a larger set takes as many passes over the
     sections. Term statistics are built once.
     """

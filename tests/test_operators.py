@@ -164,3 +164,36 @@ def test_every_question_gets_a_local_draft(spark):
     rows = {r["id"]: r for r in drafting.local_drafts(scored).collect()}
     assert set(rows) == {"S-001", "S-002", "S-003"} and all(r["answer"] for r in rows.values())
     assert rows["S-003"]["question_type"] == "budget" and rows["S-002"]["source_tag"] == "GENERATED" and rows["S-002"]["placeholders"]
+
+
+def test_ranking_over_several_stretches(spark):
+    """More sections than a task ranks at a time, with ties and repeated words: as by brute force."""
+    import math
+    import random
+
+    r = random.Random(4)
+    word = lambda: f"w{int(r.paretovariate(0.7)) % 400}"
+    sections = [(i, [word() for _ in range(r.randrange(0, 12))]) for i in range(9000)]
+    sections += [(9000 + i, sections[i][1]) for i in range(200)]
+    asked = [(i, [word() for _ in range(r.randrange(0, 6))]) for i in range(40)] + [(40, ["nowhere"]), (41, None)]
+    n, avg = len(sections), sum(len(t) for _, t in sections) / len(sections)
+    df = {}
+    for _, t in sections:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    want = set()
+    for q, t in asked:
+        scored = []
+        for c, held in sections:
+            s = 0.0
+            for w in t or []:
+                if tf := held.count(w):
+                    s += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len(held) / avg))
+            if s > 0:
+                scored.append((round(s, 9), c))
+        want |= {(q, c, k) for k, (_, c) in enumerate(sorted(scored, reverse=True)[:3], 1)}
+    chunks = spark.createDataFrame(sections, "chunk_ix bigint, tokens array<string>")
+    queries = spark.createDataFrame(asked, "id bigint, tokens array<string>")
+    for parts, block in ((1, 2_000_000), (5, 30)):
+        got = {(x["id"], x["chunk_ix"], x["rank"]) for x in index.best_sections(queries, chunks.coalesce(1).repartition(parts), block=block).collect()}
+        assert got == want
