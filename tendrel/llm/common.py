@@ -137,12 +137,12 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _PLACES = (0, 17, 34)
 
 
-def sieve(hashes: DataFrame):
+def sieve(hashes: DataFrame, rows: int | None = None):
     """A broadcast Bloom filter of the column u (bigint hashes), or-ed together by the executors: 16 bits for each row of
-    hashes within the bounds, so at most MOST_BITS / 64 rows reach the driver."""
+    hashes (rows, if the caller knows about how many) within the bounds, so at most MOST_BITS / 64 rows reach the driver."""
     spark = hashes.sparkSession
     bits = LEAST_BITS
-    rows = hashes.count()
+    rows = hashes.count() if rows is None else rows
     while bits < min(MOST_BITS, 16 * rows):
         bits *= 2
     at = F.explode(F.array(*(F.shiftrightunsigned("u", n).bitwiseAND(F.lit(bits - 1)) for n in _PLACES))).alias("at")

@@ -381,10 +381,11 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     reps = docs.where((F.col("kind") == OPEN) | (F.size("keys") > 0)).groupBy("same").agg(*(F.first(c).alias(c) for c in ("kind", "line", "blank", "triple", "pair", "word")), F.first("keys").alias("keys"))
     reps = materialise(reps)
     unsure = reps.where(F.col("kind") == OPEN)
+    open_texts, keys = reps.agg(F.count_if(F.col("kind") == OPEN), F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()
 
     levels = F.array(*(F.struct(F.lit(n).alias("n"), F.col(c).alias("k")) for n, c in ((3, "triple"), (2, "pair"), (1, "word"))))
     wanted = unsure.select("same", F.explode(levels).alias("w")).select("same", "w.n", "w.k")
-    asked = sieve(wanted.select(F.col("k").alias("u")).distinct())
+    asked = sieve(wanted.select(F.col("k").alias("u")), 3 * open_texts)
     stats = rows.select("text").mapInArrow(_closing_stats(asked), "k bigint, ends bigint, total bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("total").alias("total"))
     scored = (
         stats.join(wanted, "k")
@@ -402,9 +403,9 @@ def cut_off(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     scored = scored.select("same", "share", F.coalesce(F.col("total1") - own <= enough[1], F.lit(True)).alias("unknown"))
 
     left = reps.select("same", F.explode("keys").alias("k"))
-    right = rows.select("same", "text").mapInArrow(_sought_beginnings(sieve(left.select(F.col("k").alias("u")))), "same binary, k bigint").distinct()
+    right = rows.select("same", "text").mapInArrow(_sought_beginnings(sieve(left.select(F.col("k").alias("u")), keys)), "same binary, k bigint").distinct()
     pairs = materialise(left.join(right.withColumnRenamed("same", "other_same"), "k").where("same <> other_same").select("same", "other_same").distinct())
-    needed = sieve(pairs.select(F.explode(F.array("same", "other_same")).alias("same")).distinct().select(F.xxhash64("same").alias("u")))
+    needed = sieve(pairs.select(F.explode(F.array("same", "other_same")).alias("same")).select(F.xxhash64("same").alias("u")), 2 * pairs.count())
     texts = rows.select("same", "text", F.xxhash64("same").alias("u")).mapInArrow(_only(needed), "same binary, text string").dropDuplicates(["same"])
     aligned = (
         pairs.join(texts, "same").join(texts.toDF("other_same", "other"), "other_same").select("same", "text", "other").mapInArrow(_align, "same binary, goes_on boolean")
