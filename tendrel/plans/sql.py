@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+from tendrel.operators.drafting import TEMPLATES
 from tendrel.plans import fixtures
 from tendrel.plans.sql_values import ANSWERED_AT, EVIDENCED_AT, WEAK_AT, rules
 from tendrel.plans.sql_values import text as T
@@ -117,6 +118,35 @@ def _question_type() -> str:
     return f"CASE WHEN kind = 'budget' THEN 'budget' {whens} ELSE 'default' END"
 
 
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(_q(v) for v in values) + "]"
+
+
+def _local_drafts(topic: str, limit: str) -> str:
+    """Drafts from own material and templates; the templates themselves are the library's."""
+    templates = ", ".join(f"({_q(k)}, {_list(paragraphs)}, {_list(fill)})" for k, (paragraphs, fill) in TEMPLATES.items())
+    count = lambda parts: _words(f"trim(regexp_replace(array_to_string({parts}, ' '), {_q(T.BLANKS)}, ' ', 'g'))")
+    more = "['[PLACEHOLDER: figures, dates and commitments for this call]']"
+    return f"""WITH {_found_queries(rules.GRANT)}, tp(question_type, paragraphs, fill) AS (VALUES {templates}),
+tg AS (SELECT *, CASE WHEN coverage >= {EVIDENCED_AT} THEN 'EVIDENCED' ELSE 'GENERATED' END AS source_tag, {_question_type()} AS question_type, coalesce(nullif({topic}, ''), 'this area') AS topic, {limit} AS word_limit,
+  {_has('text', rules.NEEDS_SPECIFICS)} AS specific, CASE WHEN length(text) > 100 THEN rtrim(left(text, 99)) || '...' ELSE text END AS question FROM cov),
+ex AS (SELECT r.key, row_number() OVER (PARTITION BY r.key ORDER BY r.rank) AS place, c.text AS held, qs.tokens FROM rk r JOIN ct c USING (chunk_ix) JOIN qs ON qs.key = r.key
+  WHERE r.rank = 1 OR len(list_intersect(list_distinct(c.tokens), list_distinct(qs.tokens))) >= 2),
+sp AS (SELECT key, place, tokens, string_split(regexp_replace(held, '([.!?]){T.BLANKS[:-1]}+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM ex),
+sn AS (SELECT key, place, tokens, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS nth FROM sp),
+sc AS (SELECT key, place, s, nth, len(list_distinct(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_contains(tokens, w)))) AS n FROM sn),
+sb AS (SELECT *, row_number() OVER (PARTITION BY key, place ORDER BY n DESC, nth) AS k FROM sc WHERE n >= 2),
+pa AS (SELECT key, place, string_agg(trim(s), ' ' ORDER BY k) AS para FROM sb WHERE k <= 4 GROUP BY 1, 2),
+qo AS (SELECT key, list_prepend('Earlier work on file answers this as follows.', coalesce(list(para ORDER BY place) FILTER (WHERE para <> ''), [])) AS own FROM (SELECT DISTINCT key, place FROM ex) LEFT JOIN pa USING (key, place) GROUP BY key),
+al AS (SELECT tg.*, qo.own, tp.fill, list_transform(tp.paragraphs, lambda p: replace(replace(p, '{{topic}}', tg.topic), '{{question}}', tg.question)) AS filled, source_tag = 'EVIDENCED' AND qo.own IS NOT NULL AS evidenced
+  FROM tg JOIN tp USING (question_type) LEFT JOIN qo ON qo.key = tg.key),
+an AS (SELECT *, CASE WHEN {count('own')} > word_limit THEN own[1:3] ELSE own END AS capped, CASE WHEN question_type <> 'budget' AND {count('filled')} < word_limit * 0.5 THEN list_append(filled, '[PLACEHOLDER: expand to about ' || word_limit || ' words]') ELSE filled END AS template FROM al)
+SELECT doc_id, id, source_tag, question_type,
+  array_to_string(CASE WHEN evidenced THEN CASE WHEN specific THEN list_concat(capped, {more}) ELSE capped END ELSE template END, chr(10) || chr(10)) AS answer,
+  coalesce(array_to_string(CASE WHEN evidenced THEN CASE WHEN specific THEN {more} ELSE [] END ELSE fill END, '; '), '') AS placeholders,
+  CASE WHEN evidenced THEN 'From past material; check and adapt.' ELSE 'A template; fill in every placeholder.' END AS note FROM an"""
+
+
 def _rows(columns: str, rows: list[tuple]) -> str:
     """Literal rows."""
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else _q(v) for v in r) + ')' for r in rows)}) AS t({columns})"
@@ -127,6 +157,7 @@ def oracle_sql() -> dict[str, str]:
     limit = lambda p: f"TRY_CAST(nullif(regexp_extract(line, {_q(p)}, 1), '') AS BIGINT)"
     topic_stop = ", ".join(_q(w) for w in T.NO_TOPIC)
     bare = f"regexp_replace(regexp_replace(text, {_q('(?i)' + chr(92) + '(max ' + chr(92) + 'd+ words.*?' + chr(92) + ')')}, '', 'g'), {_q('(?i)' + chr(92) + '(worth ' + chr(92) + 'd+ marks.*?' + chr(92) + ')')}, '', 'g')"
+    topic = f"coalesce(array_to_string(list_filter(string_split(trim(regexp_replace(lower({bare}), {_q(T.BLANKS)}, ' ', 'g')), ' '), lambda w: NOT list_contains([{topic_stop}], w) AND length(w) > 2)[1:5], ' '), '')"
     heading = f"(line LIKE '#%' OR (({_words('line')}) <= 8 AND right(line, 1) NOT IN ('.', ';', ':', '?') AND regexp_matches(line, '^\\p{{Lu}}')))"
     return {
         "normalise_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM l",
@@ -166,7 +197,8 @@ FROM qs q LEFT JOIN n ON n.tender_id = q.tender_id AND n.requirement_id = q.id A
         "drafts_on_gaps": f"""WITH {_ASSESSED}, d AS (SELECT DISTINCT ON (draft_id) * FROM tender_drafts WHERE draft_id IS NOT NULL)
 SELECT v.verdict, coalesce(d.evidence_sufficient, false) AS sufficient, count(*) AS drafts FROM d JOIN v ON v.tender_id = d.tender_id AND v.id = d.requirement_id GROUP BY 1, 2""",
         "question_type": f"WITH {_extracted(g)} SELECT doc_id, id, {_question_type()} AS question_type, {_has('text', rules.NEEDS_SPECIFICS)} AS needs_specifics FROM x",
-        "topic_phrase": f"WITH {_extracted(g)} SELECT doc_id, id, coalesce(array_to_string(list_filter(string_split(trim(regexp_replace(lower({bare}), {_q(T.BLANKS)}, ' ', 'g')), ' '), lambda w: NOT list_contains([{topic_stop}], w) AND length(w) > 2)[1:5], ' '), '') AS topic FROM x",
+        "topic_phrase": f"WITH {_extracted(g)} SELECT doc_id, id, {topic} AS topic FROM x",
+        "local_drafts": _local_drafts(topic, limit(T.WORD_LIMIT)),
         # letters, the blanks of Unicode one by one, and eight signs
         "garble_gate": r"""WITH h AS (SELECT doc_id, left(text, 4000) AS s FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, length(s) AS n, length(regexp_replace(s, '[^\p{L}\t\n\v\f\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.,;:()/-]', '', 'g')) AS k FROM h)
