@@ -155,7 +155,8 @@ def draft_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_preview(spark: SparkSession, d: str) -> DataFrame:
-    return pipeline.tender_prompts(assessed(spark, d), library(spark, d), 5, "tender_id")
+    made = pipeline.tender_prompts(assessed(spark, d), library(spark, d), 5, "tender_id")
+    return made.withColumn("batch", F.col("batch").cast(L)).withColumn("ids", F.array_join("ids", ", "))
 
 
 def draft_parse_left_join(spark: SparkSession, d: str) -> DataFrame:

@@ -213,7 +213,7 @@ e AS (SELECT d.tender_id, d.batch, d.key, d.line_no, d.id, d.ref, d.text, row_nu
   FROM d JOIN rk r ON r.key = d.key JOIN ct c ON c.chunk_ix = r.chunk_ix WHERE r.rank = 1 OR len(list_intersect(list_distinct(c.tokens), list_distinct(d.tokens))) >= 2),
 b AS (SELECT tender_id, batch, line_no, id, '### ' || id || CASE WHEN coalesce(any_value(ref), '') <> '' THEN ' (clause ' || any_value(ref) || ')' ELSE '' END || chr(10) || 'Requirement: ' || any_value(text) || chr(10) || chr(10) || 'Extracts on file:' || chr(10) ||
   string_agg('[Extract ' || place || ' - ' || citation || ']' || chr(10) || held, chr(10) || chr(10) ORDER BY place) AS block FROM e GROUP BY tender_id, batch, line_no, id, key)
-SELECT tender_id, batch, 'tender' AS kind, list(id ORDER BY line_no, id) AS ids, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY line_no, id) AS prompt FROM b GROUP BY 1, 2""",
+SELECT tender_id, batch, 'tender' AS kind, string_agg(id, ', ' ORDER BY line_no, id) AS ids, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY line_no, id) AS prompt FROM b GROUP BY 1, 2""",
         "citations": f"WITH {_CHUNKS} SELECT chunk_ix, {_CITE} AS citation FROM ct c",
         "reader_files": _rows("name, text, error_kind", [(n, *r) for n, r in fixtures.FILES_READ.items()]),
         "rules_at_edges": _rows("rule, input, result", fixtures.edges_expected()),
