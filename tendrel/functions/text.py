@@ -157,9 +157,9 @@ def key_sentences(text: Column, wanted: Column, most: int = 4, least: int = 2) -
 
 def readable_share(text: Column) -> Column:
     """Share of letters, blanks (no-break ones too) and .,;:()/- in the first 4000 characters; neither digits nor marks
-    that combine with a letter are readable by this measure."""
+    that combine with a letter are readable by this measure. Null for an empty text."""
     head = F.substring(text, 1, 4000)
-    return F.length(F.regexp_replace(head, r"[^\p{L}" + BLANKS[1:-2] + r".,;:()/-]", "")) / F.length(head)
+    return F.length(F.regexp_replace(head, r"[^\p{L}" + BLANKS[1:-2] + r".,;:()/-]", "")) / F.nullif(F.length(head), F.lit(0))
 
 
 def looks_garbled(text: Column) -> Column:

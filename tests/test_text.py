@@ -110,6 +110,12 @@ def test_garble_gate(spark):
     assert value(spark, "@#$%" * 30, T.looks_garbled) is True
 
 
+def test_empty_texts_are_garbled_without_a_share(spark):
+    assert value(spark, "", T.looks_garbled) is True
+    assert value(spark, "", T.readable_share) is None
+    assert value(spark, " " * 50, T.readable_share) == 1.0
+
+
 def test_question_type_takes_the_first_match(spark):
     kind = lambda c: rules.question_type(F.lit("narrative"), c)
     assert value(spark, "Describe your team and its relevant experience", kind) == "experience"
