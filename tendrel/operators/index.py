@@ -16,8 +16,14 @@ K1, B, TOP = 1.5, 0.75, 3
 #: Tokens of the queries that are ranked in one pass; they are what is sent to each executor, at 8 bytes a token besides
 #: their different terms. A larger set of queries takes as many passes.
 BLOCK_TOKENS = 2_000_000
-#: Sections one step of a task ranks at a time.
-SECTIONS = 4096
+#: Sections a task ranks at a time, and the tokens at which such a stretch ends sooner.
+SECTIONS, STRETCH_TOKENS = 32768, 6_000_000
+#: A term that one in so many sections of a stretch holds is added up as a whole row, others by their places.
+DENSE = 32
+#: Parts of a stretch whose greatest bounds tell how high its k-th best is at least.
+PARTS = 64
+#: Sections whose scores are worked out in one go.
+SCORED = 500_000
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -40,78 +46,161 @@ def term_stats(chunks: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(corpus_stats(chunks).select("n"))).select("term", "df", F.log(1 + (n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))).alias("idf"))
 
 
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores above 0, of equal ones the later first; only places with a score are ordered."""
-    hit = np.flatnonzero(score)
-    if len(hit) > k:
-        # all that reach the k-th best stay, so that ties are settled by place
-        at = len(hit) - k
-        hit = hit[score[hit] >= np.partition(score[hit], at)[at]]
-    return hit[np.lexsort((-hit, -score[hit]))][:k]
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (chunk_ix, tokens) joined to stretches of SECTIONS rows or STRETCH_TOKENS tokens, one batch more at most."""
+    held, rows, size = [], 0, 0
+    for whole in batches:
+        for batch in (whole[i : i + SECTIONS] for i in range(0, whole.num_rows, SECTIONS)):
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + (pc.sum(pc.list_value_length(batch.column(1))).as_py() or 0)
+            if rows >= SECTIONS or size >= STRETCH_TOKENS:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _bounds(n: int, first: np.ndarray, at: np.ndarray, weight: np.ndarray, step: float, kind: type) -> list:
+    """For each term the weights in steps, rounded up: a row over all n places (a multiple of PARTS) or (places, steps); None without any."""
+    up = (np.floor(weight / step) + 1).astype(kind)
+    out: list = []
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+        if (j - i) * DENSE >= n:
+            row = np.zeros(n, kind)
+            row[at[i:j]] = up[i:j]
+            out.append(row)
+        else:
+            out.append((at[i:j], up[i:j]) if j > i else None)
+    return out
+
+
+def _exact(query: np.ndarray, at: np.ndarray, starts: np.ndarray, wanted: np.ndarray, pair: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Scores of (query, place): weights added in token order, repeats too, so that sums come out the same everywhere."""
+    score = np.zeros(len(query))
+    size = starts[query + 1] - starts[query]
+    for p in range(int(size.max(initial=0))):
+        rows = np.flatnonzero(size > p)
+        key = wanted[starts[query[rows]] + p] * n + at[rows]
+        place = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
+        score[rows] += np.where(pair[place] == key, weight[place], 0.0)
+    return score
 
 
 def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
     """Best k of a task's sections for each query of a block: (query, chunk_ix, score).
 
-    Sections are ranked in stretches; what is kept from one to the next is k rows per query. A query whose terms can't add
-    up to its k-th best in a stretch, by the greatest weight of each there, passes it over.
+    Sections are ranked in stretches; what is kept from one to the next is k rows per query. In a stretch each query adds up
+    whole numbers, its terms' weights rounded up to steps, over all sections at once. Sections whose sum may reach the
+    k-th best (of the stretch or of those kept) are then scored exactly; no other can be among the best. A query whose terms
+    can't add up to its k-th best in a stretch, by the greatest weight of each there, passes it over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, ids, flat, starts = block.value
+        terms, idf, ids, same, flat, starts = block.value
         if not len(ids):
             return
         vocabulary = pa.array(terms, pa.string())
-        avg = stats[1]
-        kept_score, kept_ix = np.zeros((len(ids), k)), np.zeros((len(ids), k), np.int64)
-        for batch in (whole_batch[i : i + SECTIONS] for whole_batch in batches for i in range(0, whole_batch.num_rows, SECTIONS)):
+        avg, queries = stats[1], len(starts) - 1
+        kept_score, kept_ix = np.zeros((queries, k)), np.zeros((queries, k), np.int64)
+
+        def keep(q: np.ndarray, score: np.ndarray, ix: np.ndarray) -> None:
+            """Puts scored sections, of a query all together, beside those kept and keeps the best k."""
+            own = np.unique(q)
+            q, score, ix = np.concatenate((q, np.repeat(own, k))), np.concatenate((score, kept_score[own].ravel())), np.concatenate((ix, kept_ix[own].ravel()))
+            order = np.lexsort((-ix, -score, q))
+            q, score, ix = q[order], score[order], ix[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            best = nth < k
+            kept_score[q[best], nth[best]], kept_ix[q[best], nth[best]] = score[best], ix[best]
+
+        for batch in _stretches(batches):
             tokens = batch.column(1)
             ix = np.asarray(batch.column(0))
-            order = np.argsort(ix, kind="stable")
-            rank = np.empty(len(ix), np.int64)
-            rank[order] = np.arange(len(ix))
+            n = len(ix)
             length = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.float64)
             owner = np.asarray(pc.list_parent_indices(tokens), dtype=np.int64)
             found = pc.index_in(tokens.flatten(), value_set=vocabulary)
             ok = np.asarray(found.is_valid())
-            term = np.asarray(found.fill_null(0))[ok].astype(np.int64)
-            pair, tf = np.unique(term * len(ix) + rank[owner[ok]], return_counts=True)
-            term, at = pair // len(ix), pair % len(ix)
-            long = length[order][at]
-            weight = idf[term] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * long / avg)) if avg else np.zeros(len(tf))
+            pair, tf = np.unique(np.asarray(found.fill_null(0))[ok].astype(np.int64) * n + owner[ok], return_counts=True)
+            if not len(pair):
+                continue
+            term, at = pair // n, pair % n
+            weight = idf[term] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length[at] / avg))
             # the term's sections and weights here; a query only meets terms that this stretch has
             first = np.searchsorted(term, np.arange(len(terms) + 1))
-            lists = [(at[i:j], weight[i:j]) if j > i else None for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
             here = np.flatnonzero(flat >= 0)
             here = here[np.diff(first)[flat[here]] > 0]
             bounds = np.searchsorted(here, starts)
-            wanted = flat[here]
-            ix = ix[order]
+            wanted = flat[here].astype(np.int64)
             most = np.zeros(len(terms))
             np.maximum.at(most, term, weight)
-            reach = np.concatenate(([0.0], np.cumsum(most[wanted])))
+            reach, size = np.diff(np.concatenate(([0.0], np.cumsum(most[wanted])))[bounds]), np.diff(bounds)
             # sums of floats may differ in their last places; a stretch is only passed over if it is clearly below
-            near = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(reach[bounds]) * (1 + 1e-9) + 1e-6 >= kept_score[:, -1]))
-            bounds, wanted = bounds.tolist(), wanted.tolist()
-            score = np.zeros(len(ix))
+            near = np.flatnonzero((size > 0) & (reach * (1 + 1e-9) + 1e-6 >= kept_score[:, -1]))
+            if not len(near):
+                continue
+            kind = np.uint16 if size.max() < 30_000 else np.uint32
+            step = float(reach.max()) * (1 + 1e-6) / (np.iinfo(kind).max - int(size.max()) - 2)
+            padded = -(-n // PARTS) * PARTS
+            rows = _bounds(padded, first, at, weight, step, kind)
+            # a step less, for the last places of floats; 0 is no score
+            least = np.maximum(np.floor(kept_score[:, -1] / step).astype(np.int64) - 1, 1).tolist()
+            begins, listed = bounds.tolist(), wanted.tolist()
+            total = np.zeros(padded, kind)
+            parts = total.reshape(PARTS, -1)
+            held_q, held_at, held = [], [], 0
+
+            def flush() -> None:
+                q, place = np.repeat(held_q, [len(x) for x in held_at]), np.concatenate(held_at)
+                score = _exact(q, place, bounds, wanted, pair, weight, n)
+                keep(q, score, ix[place])
+
             for q in near.tolist():
-                for t in wanted[bounds[q] : bounds[q + 1]]:  # in token order, repeats too: sums come out the same everywhere
-                    places, own = lists[t]
-                    score[places] += own
-                # sections are in the order of their index, so that of equal scores the higher index comes first
-                best = _top(score, k)
-                if len(best):
-                    scores, found_ix = np.concatenate((kept_score[q], score[best])), np.concatenate((kept_ix[q], ix[best]))
-                    first_k = np.lexsort((-found_ix, -scores))[:k]
-                    kept_score[q], kept_ix[q] = scores[first_k], found_ix[first_k]
-                score[:] = 0
-        held = kept_score > 0
+                mine = [rows[t] for t in listed[begins[q] : begins[q + 1]]]
+                whole = [x for x in mine if type(x) is not tuple]
+                if len(whole) > 1:
+                    np.add(whole[0], whole[1], out=total)
+                    for row in whole[2:]:
+                        np.add(total, row, out=total)
+                elif whole:
+                    total[:] = whole[0]
+                else:
+                    total.fill(0)
+                if len(whole) < len(mine):
+                    for x in mine:
+                        if type(x) is tuple:
+                            total[x[0]] += x[1]
+                bar = least[q]
+                if total.max() < bar:
+                    continue
+                if k <= PARTS:
+                    # k parts have a section of at least this sum, which is less than a step a token above its score
+                    bar = max(bar, int(np.partition(parts.max(axis=1), PARTS - k)[PARTS - k]) - len(mine) - 1)
+                place = np.flatnonzero(total >= bar)
+                held_q.append(q)
+                held_at.append(place)
+                held += len(place)
+                if held >= SCORED:
+                    flush()
+                    held_q, held_at, held = [], [], 0
+            if held:
+                flush()
+        # queries of the same tokens have been ranked once
+        held = kept_score[same] > 0
         if held.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(kept_ix[held]), pa.array(kept_score[held])], ["query", "chunk_ix", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, held.sum(axis=1))), pa.array(kept_ix[same][held]), pa.array(kept_score[same][held])], ["query", "chunk_ix", "score"])
 
     return run
 
 
+def _once(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of terms, equal ones once: the place of each list among the different ones, and those as terms and starts."""
+    seen: dict[bytes, int] = {}
+    same = np.array([seen.setdefault(flat[i:j].tobytes(), len(seen)) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())], np.int64)
+    different = np.frombuffer(b"".join(seen), flat.dtype)
+    return same, different, np.concatenate(([0], np.cumsum([len(x) // flat.itemsize for x in seen]))).astype(np.int64)
+
+
 def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int = TOP, k1: float = K1, b: float = B, block: int = BLOCK_TOKENS) -> DataFrame:
     """(key, chunk_ix, score, rank) of the k best sections for each query (key bigint, tokens), by BM25 over the occurrences of
     its tokens; of equal scores the higher index ranks first, and scores of 0 don't rank.
@@ -140,7 +229,7 @@ def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int
         place = pc.index_in(tokens.flatten(), value_set=terms)
         flat = np.asarray(pc.fill_null(place, -1)).astype(np.int32)
         starts = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(tokens)))))
-        sent = spark.sparkContext.broadcast((terms.to_pylist(), found.column("idf").to_numpy(), ids, flat, starts))
+        sent = spark.sparkContext.broadcast((terms.to_pylist(), found.column("idf").to_numpy(), ids, *_once(flat, starts)))
         parts.append(sections.mapInArrow(_rank(stats, sent, k, k1, b), "query bigint, chunk_ix bigint, score double"))
     each = parts[0]
     for part in parts[1:]:

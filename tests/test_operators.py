@@ -197,3 +197,44 @@ def test_ranking_over_several_stretches(spark):
     for parts, block in ((1, 2_000_000), (5, 30)):
         got = {(x["id"], x["chunk_ix"], x["rank"]) for x in index.best_sections(queries, chunks.coalesce(1).repartition(parts), block=block).collect()}
         assert got == want
+
+
+def test_ranking_scores_few_sections_exactly(monkeypatch):
+    """A task's own work without Spark: several stretches, equal queries and sections; as by brute force, with few exact scores."""
+    import random
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(7)
+    sections = [[f"w{int(r.paretovariate(0.8)) % 300}" for _ in range(r.randrange(0, 30))] for _ in range(3000)] + [["rare", "w1"]] * 3
+    asked = [[f"w{int(r.paretovariate(0.8)) % 300}" for _ in range(r.randrange(1, 9))] for _ in range(60)]
+    asked += [asked[0], ["rare", "rare", "w1"], ["nowhere"], ["w1"] * 50]
+    n, avg = len(sections), sum(map(len, sections)) / len(sections)
+    df = {w: sum(w in t for t in sections) for w in {w for t in sections for w in t}}
+    terms = sorted(df)
+    idf = np.log(1 + (n - np.array([df[w] for w in terms]) + 0.5) / (np.array([df[w] for w in terms]) + 0.5))
+    place = {w: i for i, w in enumerate(terms)}
+    flat, starts = np.array([place.get(w, -1) for t in asked for w in t], np.int32), np.concatenate(([0], np.cumsum([len(t) for t in asked])))
+    block = SimpleNamespace(value=(terms, idf, np.arange(len(asked)) + 100, *index._once(flat, starts)))
+    made, exact = [], index._exact
+    monkeypatch.setattr(index, "SECTIONS", 700)
+    monkeypatch.setattr(index, "_exact", lambda q, *rest: made.append(len(q)) or exact(q, *rest))
+    batches = pa.table({"chunk_ix": pa.array(range(n), pa.int64()), "tokens": pa.array(sections, pa.list_(pa.string()))}).to_batches(max_chunksize=500)
+    found = [row for b in index._rank((n, avg), block, 3, 1.5, 0.75)(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns))]
+    want = set()
+    shared = 0
+    for q, t in enumerate(asked, 100):
+        scored = []
+        for c, held in enumerate(sections):
+            s = 0.0
+            for w in t:
+                if tf := held.count(w):
+                    s += float(idf[place[w]]) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * len(held) / avg))
+            if s > 0:
+                scored.append((s, c))
+        shared += len(scored)
+        want |= {(q, c, s) for s, c in sorted(scored, reverse=True)[:3]}
+    assert set(found) == want and len(found) == len(want)
+    assert sum(made) < shared / 10, (sum(made), shared)
