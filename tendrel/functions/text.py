@@ -87,7 +87,7 @@ def tokens(text: Column) -> Column:
     """Stemmed words in order, repeats kept: lower-case runs that begin with a letter, without outer dots and dashes, of
     two characters or more, no stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9+#.-]*"), 0)
-    bare = F.transform(found, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
+    bare = F.transform(found, lambda w: F.btrim(w, F.lit(".-")))
     return F.transform(F.filter(bare, lambda w: (F.length(w) >= 2) & ~w.isin(STOPWORDS)), stem)
 
 

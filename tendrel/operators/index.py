@@ -22,6 +22,8 @@ SECTIONS, STRETCH_TOKENS = 32768, 6_000_000
 DENSE = 32
 #: Parts of a stretch whose greatest bounds tell how high its k-th best is at least.
 PARTS = 64
+#: Sums of a query's first terms that are kept for the next query, which begins with the same ones more often than not.
+DEPTH = 24
 #: Sections whose scores are worked out in one go.
 SCORED = 500_000
 
@@ -92,7 +94,8 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
     Sections are ranked in stretches; what is kept from one to the next is k rows per query. In a stretch each query adds up
     whole numbers, its terms' weights rounded up to steps, over all sections at once. Sections whose sum may reach the
     k-th best (of the stretch or of those kept) are then scored exactly; no other can be among the best. A query whose terms
-    can't add up to its k-th best in a stretch, by the greatest weight of each there, passes it over.
+    can't add up to its k-th best in a stretch, by the greatest weight of each there, passes it over. Queries come in the
+    order of their sorted terms, the most frequent first, so that sums of the terms two of them begin with are made once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +104,7 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             return
         vocabulary = pa.array(terms, pa.string())
         avg, queries = stats[1], len(starts) - 1
+        ordered = flat[np.lexsort((flat, np.repeat(np.arange(queries), np.diff(starts))))]
         kept_score, kept_ix = np.zeros((queries, k)), np.zeros((queries, k), np.int64)
 
         def keep(q: np.ndarray, score: np.ndarray, ix: np.ndarray) -> None:
@@ -128,8 +132,8 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             weight = idf[term] * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length[at] / avg))
             # the term's sections and weights here; a query only meets terms that this stretch has
             first = np.searchsorted(term, np.arange(len(terms) + 1))
-            here = np.flatnonzero(flat >= 0)
-            here = here[np.diff(first)[flat[here]] > 0]
+            held_here = np.diff(first) > 0
+            here = np.flatnonzero(held_here[flat])
             bounds = np.searchsorted(here, starts)
             wanted = flat[here].astype(np.int64)
             most = np.zeros(len(terms))
@@ -145,9 +149,10 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
             rows = _bounds(padded, first, at, weight, step, kind)
             # a step less, for the last places of floats; 0 is no score
             least = np.maximum(np.floor(kept_score[:, -1] / step).astype(np.int64) - 1, 1).tolist()
-            begins, listed = bounds.tolist(), wanted.tolist()
-            total = np.zeros(padded, kind)
-            parts = total.reshape(PARTS, -1)
+            begins, listed = bounds.tolist(), ordered[held_here[ordered]].tolist()
+            kept_sums, path = [np.zeros(padded, kind)] + [np.empty(padded, kind) for _ in range(min(DEPTH, int(size.max())))], []
+            own = np.empty(padded, kind)
+            width = padded // PARTS
             held_q, held_at, held = [], [], 0
 
             def flush() -> None:
@@ -156,27 +161,36 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
                 keep(q, score, ix[place])
 
             for q in near.tolist():
-                mine = [rows[t] for t in listed[begins[q] : begins[q + 1]]]
-                whole = [x for x in mine if type(x) is not tuple]
-                if len(whole) > 1:
-                    np.add(whole[0], whole[1], out=total)
-                    for row in whole[2:]:
-                        np.add(total, row, out=total)
-                elif whole:
-                    total[:] = whole[0]
-                else:
-                    total.fill(0)
-                if len(whole) < len(mine):
-                    for x in mine:
-                        if type(x) is tuple:
-                            total[x[0]] += x[1]
+                mine = listed[begins[q] : begins[q + 1]]
+                whole = [t for t in mine if type(rows[t]) is not tuple]
+                some = [rows[t] for t in mine if type(rows[t]) is tuple]
+                same_first = 0
+                for t, u in zip(path, whole):
+                    if t != u:
+                        break
+                    same_first += 1
+                path = whole[:DEPTH]
+                for d in range(same_first, len(path)):
+                    np.add(kept_sums[d], rows[path[d]], out=kept_sums[d + 1])
+                total = kept_sums[len(path)]
+                if some or len(whole) > DEPTH:
+                    np.copyto(own, total)
+                    total = own
+                    for t in whole[DEPTH:]:
+                        np.add(total, rows[t], out=total)
+                    for places, steps in some:
+                        total[places] += steps
                 bar = least[q]
-                if total.max() < bar:
+                if bar > 1 and total.max() < bar:
                     continue
+                parts = total.reshape(PARTS, width)
+                highest = parts.max(axis=1)
                 if k <= PARTS:
                     # k parts have a section of at least this sum, which is less than a step a token above its score
-                    bar = max(bar, int(np.partition(parts.max(axis=1), PARTS - k)[PARTS - k]) - len(mine) - 1)
-                place = np.flatnonzero(total >= bar)
+                    bar = max(bar, int(np.partition(highest, PARTS - k)[PARTS - k]) - len(mine) - 1)
+                above = np.flatnonzero(highest >= bar)
+                part, place = np.nonzero(parts[above] >= bar)
+                place += above[part] * width
                 held_q.append(q)
                 held_at.append(place)
                 held += len(place)
@@ -194,11 +208,16 @@ def _rank(stats: tuple[int, float], block, k: int, k1: float, b: float):
 
 
 def _once(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lists of terms, equal ones once: the place of each list among the different ones, and those as terms and starts."""
-    seen: dict[bytes, int] = {}
-    same = np.array([seen.setdefault(flat[i:j].tobytes(), len(seen)) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())], np.int64)
-    different = np.frombuffer(b"".join(seen), flat.dtype)
-    return same, different, np.concatenate(([0], np.cumsum([len(x) // flat.itemsize for x in seen]))).astype(np.int64)
+    """Lists of terms (without those below 0), equal ones once: the place of each list among the different ones, and those as
+    terms and starts, in the order of their sorted terms."""
+    starts = np.concatenate(([0], np.cumsum(flat >= 0)))[starts].tolist()
+    flat = flat[flat >= 0].astype(np.int32)
+    lists = [flat[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:])]
+    # big-endian bytes are in the order of the numbers
+    different = sorted(set(lists), key=lambda x: (np.sort(np.frombuffer(x, np.int32)).astype(">i4").tobytes(), x))
+    place = {x: i for i, x in enumerate(different)}
+    same = np.array([place[x] for x in lists], np.int64)
+    return same, np.frombuffer(b"".join(different), np.int32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in different]))).astype(np.int64)
 
 
 def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int = TOP, k1: float = K1, b: float = B, block: int = BLOCK_TOKENS) -> DataFrame:
@@ -225,6 +244,7 @@ def best_sections(queries: DataFrame, chunks: DataFrame, key: str = "id", k: int
         rows = part.toArrow()
         ids, tokens = rows.column("query").to_numpy(), rows.column("tokens").combine_chunks()
         found = idf.join(part.select(F.explode("tokens").alias("term")).distinct(), "term").toArrow()
+        found = found.sort_by([("idf", "ascending"), ("term", "ascending")])
         terms = found.column("term").combine_chunks()
         place = pc.index_in(tokens.flatten(), value_set=terms)
         flat = np.asarray(pc.fill_null(place, -1)).astype(np.int32)
