@@ -238,3 +238,14 @@ def test_ranking_scores_few_sections_exactly(monkeypatch):
         want |= {(q, c, s) for s, c in sorted(scored, reverse=True)[:3]}
     assert set(found) == want and len(found) == len(want)
     assert sum(made) < shared / 10, (sum(made), shared)
+
+
+def test_equal_queries_once_in_the_order_of_their_terms():
+    import numpy as np
+
+    lists = [[3, 0, -1], [2], [0, 3], [3, 0], [-1], [0, 1, 9], [0, 256]]
+    flat, starts = np.array([t for x in lists for t in x], np.int32), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    same, terms, begins = index._once(flat, starts)
+    different = [terms[i:j].tolist() for i, j in zip(begins[:-1], begins[1:])]
+    assert [different[i] for i in same] == [[t for t in x if t >= 0] for x in lists]
+    assert different == [[], [0, 1, 9], [0, 3], [3, 0], [0, 256], [2]] and same[0] == same[3]
